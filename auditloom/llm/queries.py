@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import packing, splitting, unify_text
+from auditloom.llm import contamination, mojibake, packing, splitting, unify_text
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,8 +32,24 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_read(spark, d, "documents"))
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repair_encoding(_read(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_restored(spark, d).select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p6_found, p7_containers)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
