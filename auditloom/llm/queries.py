@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical_values, contamination, mojibake, packing, splitting, unify_text
+from auditloom.llm import canonical_values, contamination, mojibake, name_variants, packing, splitting, unify_text
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_mapped(spark, d).select("src", "row_key", "pos", "software_id").distinct()
 
 
+def p4_linked(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.link_variants(_read(spark, d, "archived_papers"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_linked(spark, d).select("name_a", "name_b").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unify_text.hidden_quotes(_read(spark, d, "evidence"), _read(spark, d, "parsed_docs")).select("evidence_id").distinct()
 
@@ -57,7 +65,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p3_mapped, p3_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
+    return {f.__name__: f for f in (p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
