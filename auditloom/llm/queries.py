@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import canonical_values, contamination, mojibake, name_variants, packing, splitting, unify_text
+from auditloom.llm import canonical_values, consensus_labels, contamination, mojibake, name_variants, packing, splitting, unify_text
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_items(spark: SparkSession, d: str) -> DataFrame:
+    return consensus_labels.fit_consensus(_read(spark, d, "ratings")).items
+
+
+def p1_raters(spark: SparkSession, d: str) -> DataFrame:
+    return consensus_labels.fit_consensus(_read(spark, d, "ratings")).raters
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_items(spark, d).filter("n_labels > 1").select("work_id", "step_id", "label")
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     sections = unify_text.explode_sections(_read(spark, d, "parsed_docs"))
     return splitting.split_long_texts(sections, "text").distinct()
@@ -65,7 +77,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
+    return {f.__name__: f for f in (p1_items, p1_raters, p1_found, p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
