@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from auditloom.plans import records
+
+MODULES = (records,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.oracle_sql().items()}
