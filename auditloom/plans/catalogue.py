@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditloom.plans import records
+from auditloom.plans import detection, records
 
-MODULES = (records,)
+MODULES = (detection, records)
 
 
 def queries() -> dict:
