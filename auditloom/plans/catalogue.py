@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditloom.plans import detection, records
+from auditloom.plans import detection, records, validation
 
-MODULES = (detection, records)
+MODULES = (detection, records, validation)
 
 
 def queries() -> dict:
