@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers: blobs, rubrics, rating forms, override logs, provider records, reports."""
