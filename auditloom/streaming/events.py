@@ -14,9 +14,6 @@ STATE = "seq long, ended boolean"
 
 
 def _number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     seq, ended = state.get if state.exists else (0, False)
     rows = pd.concat(list(parts)).sort_values("event_no", kind="stable")
     out = []
@@ -27,7 +24,6 @@ def _number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
         out.append((key[0], seq, r.type, r.stage, r.state, r.reason))
         ended = r.type in TERMINAL
     state.update((seq, ended))
-    state.setTimeoutDuration(86_400_000)  # state of a silent job is dropped after a day
     yield pd.DataFrame(out, columns=["job_id", "seq", "type", "stage", "state", "reason"])
 
 
@@ -38,7 +34,7 @@ def number_events(events: DataFrame) -> DataFrame:
     flag a job. Order within a micro-batch is event_no; a later batch comes after an earlier one.
     """
     slim = events.select("job_id", "event_no", "type", "stage", "state", "reason").filter("job_id IS NOT NULL")
-    return slim.groupBy("job_id").applyInPandasWithState(_number, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("job_id").applyInPandasWithState(_number, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def replay_from(numbered: DataFrame, after: int) -> DataFrame:
