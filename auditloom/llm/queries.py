@@ -80,7 +80,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_items, p1_raters, p1_found, p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
 
 
+def _p6_sql() -> str:
+    """The unifying statement over both tables at once, then the same test."""
+    chain, _, last = unify_text._statement(skeleton=True).strip().removesuffix("ORDER BY i").removeprefix("WITH ").rpartition("SELECT i, CASE WHEN plain THEN d")
+    return f"""WITH q AS (SELECT DISTINCT evidence_id, doc_key, span.section_id AS sid, span.quote AS t FROM evidence WHERE span.quote IS NOT NULL AND span.section_id IS NOT NULL),
+        s AS (SELECT DISTINCT doc_key, s.id AS sid, s.text AS t FROM (SELECT doc_key, unnest(sections) AS s FROM parsed_docs) WHERE s.text IS NOT NULL),
+        batch AS (SELECT DISTINCT t AS i, t FROM (SELECT t FROM q UNION ALL SELECT t FROM s)),
+        {chain}, form AS (SELECT i, CASE WHEN plain THEN d{last})
+        SELECT evidence_id FROM q JOIN s USING (doc_key, sid) JOIN form f ON f.i = q.t JOIN form g ON g.i = s.t WHERE trim(f.o) <> '' AND contains(g.o, f.o)
+        GROUP BY evidence_id, doc_key, sid, q.t HAVING NOT bool_or(contains(s.t, q.t))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _p6_sql(),
         "p2_found": "SELECT DISTINCT doc_key, s.id AS section_id FROM (SELECT doc_key, unnest(sections) AS s FROM parsed_docs) WHERE length(s.text) > 2000",
     }
