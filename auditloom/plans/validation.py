@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.operators import agreement, consensus, nested_json, ratings, scoring
+from auditloom.operators import agreement, assess, consensus, nested_json, ratings, scoring
 
 ORDER = ratings.STATUSES
 # The weights of the default rubric: some steps count half for some kinds of paper, all others fully.
@@ -201,8 +201,33 @@ def rater_relationships(spark: SparkSession, d: str) -> DataFrame:
     return _current(spark, d).groupBy("relationship").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rater_id").alias("n_raters"))
 
 
+def batch_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of scored results against the ten of the rubric."""
+    flat = nested_json.flatten_reports(spark.read.parquet(f"{d}/report_records.parquet")).filter("rating_pos = -1").dropDuplicates(["record_id", "tbl", "rating_pos", "step_pos", "child_pos"])
+    judged = nested_json.table_of(flat, "step").filter("step_id IS NOT NULL").select("record_id", "step_id")
+    asked = judged.select("record_id").distinct().withColumn("step_id", F.explode(F.array(*map(F.lit, scoring.STEPS))))
+    return assess.reconcile(asked, judged, ["record_id", "step_id"]).groupBy("step_id", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assemble_goldset(spark: SparkSession, d: str) -> DataFrame:
+    c = _current(spark, d)
+    return assess.assemble_gold(c, consensus.consensus_relevance(c), consensus.consensus_labels(c))
+
+
+def absence_records(spark: SparkSession, d: str) -> DataFrame:
+    """Missing steps of the consensus with the sections of their source document that were searched."""
+    from auditloom.operators import detect
+
+    c = _current(spark, d)
+    docs = spark.read.parquet(f"{d}/parsed_docs.parquet").dropDuplicates(["doc_key"])
+    keys = docs.select(F.col("source_doc.sha256").alias("source_sha256"), "doc_key").join(c.select("source_sha256", F.col("work_id").alias("doc")).distinct(), "source_sha256")
+    searched = detect.sections_of(docs).filter("kind <> 'references' AND length(text) > 0").join(keys.groupBy("doc").agg(F.min("doc_key").alias("doc_key")), "doc_key").select("doc", "section_pos", "section_id")
+    missing = consensus.consensus_steps(ratings.step_rows(c)).select(F.col("work_id").alias("doc"), "step_id", "applicable", "status")
+    return assess.absence_records(missing, searched).select("doc", "step_id", "section_id", F.array_join("searched_sections", ",").alias("searched"))
+
+
 QUERIES = (
-    rating_steps_current, rating_counts, step_violations, form_violations, gold_admissibility, incomplete_forms, consensus_steps, consensus_evidence, consensus_labels, consensus_gates,
+    batch_reconcile, assemble_goldset, absence_records, rating_steps_current, rating_counts, step_violations, form_violations, gold_admissibility, incomplete_forms, consensus_steps, consensus_evidence, consensus_labels, consensus_gates,
     consensus_relevance, no_consensus_steps, agreement_summary, confusion_matrix, absence_rates, sens_spec_accuracy, class_set_accuracy, wilson_intervals, inter_rater_pairs, bootstrap_kappa_ci,
     step_weights_multilabel, coverage_quality, score_impacts, icc_scores, refutation_upgrade, override_rescore, fix_list, validation_report, rater_relationships,
 )
@@ -287,5 +312,9 @@ def oracle_sql() -> dict[str, str]:
         "override_rescore": f"WITH {cur}, {steps}, {cons}, {graded}, fixed AS (SELECT g.doc, g.applicable, g.confidence, g.weight, {toward} AS status FROM (SELECT *, ['missing', 'partial', 'adequate'] AS o FROM graded) g LEFT JOIN cons c ON c.work_id = g.work_id AND c.step_id = g.step_id) SELECT doc, present, strict, quality FROM ({score('fixed')})",
         "validation_report": f"""WITH {cur}, {steps}, {cons}, {cells}, {rel}, {binary}, {graded}, {icc}, {kap.format(by='1', t='cells', where='WHERE a_applies AND b_applies')}, s AS (SELECT 'agreement' AS metric, agreement AS value, n FROM k UNION ALL SELECT 'kappa', kappa, n FROM k UNION ALL SELECT 'kappa_linear', kappa_linear, n FROM k UNION ALL SELECT 'ac1', ac1, n FROM k
             UNION ALL SELECT rate, value, n FROM ({absent}) UNION ALL SELECT 'relevance_' || rate, value, n FROM ({sens}) UNION ALL SELECT 'coverage_icc', icc, n FROM icc) SELECT metric, value, n, n < 15 AS preliminary FROM s""",
+        "assemble_goldset": f"WITH {cur}, {rel}, {lab} SELECT c.work_id, n_raters, reason IS NULL AS written, reason FROM (SELECT w.work_id, n_raters, CASE WHEN relevance IS NULL THEN 'no relevance consensus' WHEN relevance <> 'no' AND NOT EXISTS (SELECT 1 FROM lab l WHERE l.work_id = w.work_id) THEN 'no class consensus' END AS reason FROM (SELECT work_id, count(*) AS n_raters FROM cur GROUP BY 1) w LEFT JOIN rel USING (work_id)) c",
+        "absence_records": f"""WITH {cur}, {steps}, {cons}, p AS (SELECT DISTINCT doc_key, source_doc.sha256 AS sha, sections FROM parsed_docs), k AS (SELECT work_id, min(doc_key) AS doc_key FROM cur JOIN p ON p.sha = cur.source_sha256 GROUP BY 1),
+            s AS (SELECT doc_key, string_agg(x.id, ',' ORDER BY i) AS searched, arg_min(x.id, i) AS first FROM (SELECT doc_key, unnest(sections) AS x, generate_subscripts(sections, 1) AS i FROM p) WHERE x.kind <> 'references' AND length(x.text) > 0 GROUP BY 1)
+            SELECT c.work_id AS doc, step_id, coalesce(first, 's00') AS section_id, coalesce(searched, '') AS searched FROM cons c LEFT JOIN k USING (work_id) LEFT JOIN s USING (doc_key) WHERE c.applicable AND c.status = 'missing'""",
         "rater_relationships": f"WITH {cur} SELECT relationship, count(*) AS n, count(DISTINCT rater_id) AS n_raters FROM cur GROUP BY 1",
     }
