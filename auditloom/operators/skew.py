@@ -16,14 +16,16 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join can't salt a {how} join")
-    keyed = (left if counted is None else counted).select(*on).na.drop(subset=on)
-    counts = keyed.groupBy(*on).count()
-    total = keyed.count()
+    source = (left if counted is None else counted).select(*on)
+    counts = source.na.drop(subset=on).groupBy(*on).count()
+    total = source.count()
     hot = counts.filter(F.col("count") > F.lit(max(1000, int(total * hot_share)))).select(*on).collect()
     if not hot:
         return left.join(right, on, how)
     spark = left.sparkSession
     flags = F.broadcast(spark.createDataFrame(hot, left.select(*on).schema).withColumn("_hot", F.lit(True)))
-    spread = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    # by the row's own values, so that a retried task deals its rows as before
+    dealt = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*dealt), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
     copies = right.join(flags, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
