@@ -12,7 +12,7 @@ from auditloom.operators.scoring import EASE, severity_of
 
 def clamp(c: Column) -> Column:
     """Into [0, 1]; null and not-a-number stay null."""
-    return F.when(~F.isnan(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def reconcile(expected: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
