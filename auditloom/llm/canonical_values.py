@@ -69,13 +69,12 @@ def map_values(values: DataFrame, catalog: DataFrame, value: str = "value", thre
     keyed = keyed.join(F.broadcast(wholes.select("key", F.lit(True).alias("_whole")).distinct()), "key", "left").select("value", "key", (F.col("open_end") & F.col("_whole").isNull()).alias("open_end"))
     index = forms.select("id", F.col("key").alias("form"), "open_end", F.explode(grams(F.col("key"), F.col("open_end"))).alias("gram"))
     weights = index.filter(~F.col("open_end")).groupBy("gram").agg(F.count_distinct("id").alias("df"))
-    entries = forms.select("id").distinct().agg(F.count(F.lit(1)).alias("n_entries"))
-    weight = F.log(1 + F.col("n_entries") / F.coalesce(F.col("df"), F.lit(1)))
-    scale = F.broadcast(entries)  # one row
-    index = index.join(weights, "gram", "left").crossJoin(scale).withColumn("w2", F.pow(weight, 2)).drop("df", "n_entries")
+    entries = catalog.select("software_id").distinct().count()
+    weight = F.log(1 + F.lit(float(entries)) / F.coalesce(F.col("df"), F.lit(1)))
+    index = index.join(weights, "gram", "left").withColumn("w2", F.pow(weight, 2)).drop("df")
     index = index.withColumn("norm_f", F.sqrt(F.sum("w2").over(Window.partitionBy("id", "form", "open_end"))))
     asked = keyed.select("key", "open_end").distinct().withColumn("gram", F.explode(grams(F.col("key"), F.col("open_end"))))
-    asked = asked.join(weights, "gram", "left").crossJoin(scale).withColumn("w2", F.pow(weight, 2)).drop("df", "n_entries")
+    asked = asked.join(weights, "gram", "left").withColumn("w2", F.pow(weight, 2)).drop("df")
     asked = asked.withColumn("norm_k", F.sqrt(F.sum("w2").over(Window.partitionBy("key", "open_end"))))
     met = asked.drop("w2").join(index, ["gram", "open_end"])
     scored = met.groupBy("key", "open_end", "id", "form").agg((F.sum("w2") / F.first("norm_k") / F.first("norm_f")).alias("score"))
