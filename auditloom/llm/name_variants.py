@@ -1,7 +1,7 @@
 """Problem 4: link the spellings of one person or group.
 
-Suffix blocking on name tokens: every suffix from a minimum length up is a block; an overly common one is refined with
-the token's beginning before it may be discarded. Pairs in a block are compared by the ratio of their longest common
+Suffix blocking on name tokens: every suffix from a minimum length up is a block, beside beginnings and single deletions; an
+overly common one is spread over tasks and still compared as a whole. Pairs in a block are compared by the ratio of their longest common
 subsequence. That joins misspelt family names to the usual spelling; within a family the given names decide.
 """
 
@@ -11,8 +11,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,29 +106,69 @@ def _parsed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["name", "tokens", "before", "is_group"])
 
 
-def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float, common: int = 50) -> DataFrame:
+def _nearest(ratio: float, names: list[str]):
+    """For a large block: each own token with the most frequent tokens similar to it, all tokens of the block being compared."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["n", "token"], ascending=[False, True], kind="stable", ignore_index=True)
+        tokens, n = block["token"].tolist(), block["n"].to_numpy()
+        sizes = np.array([len(t) for t in tokens])
+        letters = np.zeros((len(tokens), 32), np.int16)
+        for i, t in enumerate(tokens):
+            for c in t:
+                letters[i, ord(c) % 32] += 1
+        out = []
+        for i in np.flatnonzero(block["own"].to_numpy()):
+            at, step, least_n = 0, 64, None
+            while at < i and (least_n is None or n[at] == least_n):
+                stop = min(at + step, i)
+                # common letters bound the common subsequence from above, so no similar token is passed over
+                shared = np.minimum(letters[at:stop], letters[i]).sum(1)
+                close = (np.abs(sizes[at:stop] - sizes[i]) <= 2) & (2 * shared >= ratio * (sizes[at:stop] + sizes[i]) - 1e-9)
+                for j in at + np.flatnonzero(close):
+                    if least_n is not None and n[j] < least_n:
+                        break
+                    if (r := lcs_ratio(tokens[i], tokens[j])) >= ratio:
+                        least_n = n[j]
+                        out.append((i, j, r))
+                at, step = stop, step * 2
+        i, j, r = (list(x) for x in zip(*out)) if out else ([], [], [])
+        found = block.loc[i, names].reset_index(drop=True)
+        return found.assign(token=[tokens[x] for x in i], main=[tokens[x] for x in j], n=n[i].astype(np.int64), m=n[j].astype(np.int64), ratio=np.array(r, float))
+
+    return run
+
+
+def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float, common: int = 50, part: int = 1000) -> DataFrame:
     """Pairs (token, main) of similar tokens within ``scope``, the more frequent one as main; ``tokens``: scope, token, n.
 
-    Blocks are all suffixes of at least ``least`` letters. A suffix with more than ``common`` tokens is refined with the
-    token's first three letters, and if that is still common with its first half; nothing is discarded but blocks of one.
-    For misspelt last letters the first half of the token (also one letter less) is a block too.
+    Blocks are all suffixes of at least ``least`` letters, the first half of the token (also one letter less) for misspelt
+    last letters and, for tokens too short to keep either, the token without any one of its letters: tokens that differ by
+    one letter (changed, lost, added, swapped with its neighbour) always share a block. Nothing is discarded but blocks of
+    one. In a block with more than ``common`` tokens, which a hot name makes, all tokens are still compared, from the most
+    frequent on and only until one is similar: of such a block come each token's most frequent mains, not the rarer ones.
+    It is spread over tasks by ``part`` tokens each.
     """
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - least + 1, F.lit(1))), lambda i: F.substring(F.col("token"), i, F.length("token")))
-    half = lambda less: F.substring(F.col("token"), F.lit(1), F.greatest(F.lit(3), F.floor(F.length("token") / 2).cast("int") - less))
+    length = F.length("token")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(length - least + 1, F.lit(1))), lambda i: F.substring(F.col("token"), i, length))
+    half = lambda less: F.substring(F.col("token"), F.lit(1), F.greatest(F.lit(3), F.floor(length / 2).cast("int") - less))
     halves = F.array(F.concat(F.lit("^"), half(0)), F.concat(F.lit("^"), half(1)))
-    blocks = tokens.withColumn("block", F.explode(F.array_distinct(F.concat(suffixes, halves))))
-
-    def refined(df: DataFrame, field: Column) -> DataFrame:
-        sizes = df.groupBy(*scope, "block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return df.join(sizes, [*scope, "block"]).withColumn("block", F.when(F.col("size") > common, F.concat_ws("|", "block", field)).otherwise(F.col("block"))).drop("size")
-
-    blocks = refined(refined(blocks, F.substring("token", 1, 3)), half(1))
-    left = blocks.select(*scope, "block", "token", "n")
-    right = blocks.select(*scope, "block", F.col("token").alias("main"), F.col("n").alias("m"))
+    without = F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(F.lit("-"), F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, length)))
+    without = F.when(length <= 2 * least + 2, F.concat(without, F.array(F.concat(F.lit("-"), "token")))).otherwise(F.array().cast("array<string>"))
+    blocks = tokens.withColumn("block", F.explode(F.array_distinct(F.concat(suffixes, halves, without))))
+    sizes = blocks.groupBy(*scope, "block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    blocks = blocks.join(sizes, [*scope, "block"])
+    few = blocks.filter(F.col("size") <= common)
+    left = few.select(*scope, "block", "token", "n")
+    right = few.select(*scope, "block", F.col("token").alias("main"), F.col("n").alias("m"))
     nearer = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("main") < F.col("token")))
     alike = (F.abs(F.length("token") - F.length("main")) <= 2) & nearer
     pairs = left.join(right, [*scope, "block"]).filter(alike).select(*scope, "token", "main", "n", "m").distinct()
-    return pairs.withColumn("ratio", lcs_ratios("token", "main")).filter(F.col("ratio") >= ratio)
+    pairs = pairs.withColumn("ratio", lcs_ratios("token", "main")).filter(F.col("ratio") >= ratio)
+    parts = F.ceil(F.col("size") / part).cast("int")
+    many = blocks.filter(F.col("size") > common).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("token"), parts) == F.col("part"))
+    nearest = many.groupBy(*scope, "block", "part").applyInPandas(_nearest(ratio, scope), pairs.schema)
+    return pairs.unionByName(nearest).distinct()
 
 
 def _usual(tokens: DataFrame, scope: list[str], least: int, ratio: float) -> DataFrame:

@@ -128,3 +128,37 @@ def test_variants_link(spark):
     want = {(a, b) for p in people for a in p for b in p if a.encode() < b.encode()}
     assert got == want
     assert name_variants.link_variants(df.limit(0)).count() == 0
+
+
+def _misspelt(name, n, rng):
+    out = set()
+    while len(out) < n:
+        t, i = list(name), rng.randrange(len(name) - 1)
+        kind = rng.randrange(4)
+        if kind == 0:
+            t[i] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        elif kind == 1:
+            t.insert(i, rng.choice("abcdefghijklmnopqrstuvwxyz"))
+        elif kind == 2:
+            del t[i]
+        else:
+            t[i], t[i + 1] = t[i + 1], t[i]
+        if (t := "".join(t)) != name:
+            out.add(t)
+    return sorted(out)
+
+
+def test_hot_family_is_compared_as_a_whole(spark):
+    rng = random.Random(5)
+    rows = [("fulrivontfel", 900), ("grepolpenair", 40)] + [(t, 1 + k % 3) for k, t in enumerate(_misspelt("fulrivontfel", 400, rng))] + [(t, 1) for t in _misspelt("grepolpenair", 30, rng)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "one int, token string, n long")
+    want = {}
+    for t, n in rows:
+        fits = [((m, name_variants.lcs_ratio(t, u), u), u) for u, m in rows if (m > n or (m == n and u < t)) and abs(len(t) - len(u)) <= 2 and name_variants.lcs_ratio(t, u) >= 0.85]
+        if fits:
+            want[t] = max(fits)[1]
+    best = {}
+    for r in name_variants.similar_tokens(df, ["one"], 5, 0.85, part=300).collect():
+        best[r.token] = max(best.get(r.token, ((0,), "")), ((r.m, r.ratio, r.main), r.main))
+    assert {t: m for t, (_, m) in best.items()} == want
+    assert sum(m == "fulrivontfel" for m in want.values()) == 400
