@@ -183,7 +183,9 @@ def name_entities(archived_papers: DataFrame, column: str = "paper_authors") ->
     """Each distinct spelling with the entity it means: name, entity.
 
     Null, blank and stand-in entries give no row. Initials, short forms and nicknames join the one given name of their
-    family that they fit; where they fit several or none they form an entity of their own.
+    family that they fit; where they fit several or none they form an entity of their own. Family names under six letters
+    are taken as spelt: one letter apart, they are more often two names than one (Brown, Browne), and a changed or swapped
+    letter leaves them under the ratio.
     """
     names = archived_papers.select(F.explode(column).alias("name")).filter(F.trim("name") != "").distinct()
     parsed = cut(names.mapInPandas(_parsed, "name string, tokens array<string>, before int, is_group boolean"))

@@ -162,3 +162,10 @@ def test_hot_family_is_compared_as_a_whole(spark):
         best[r.token] = max(best.get(r.token, ((0,), "")), ((r.m, r.ratio, r.main), r.main))
     assert {t: m for t, (_, m) in best.items()} == want
     assert sum(m == "fulrivontfel" for m in want.values()) == 400
+
+
+def test_short_family_names_with_one_typo(spark):
+    rows = [("larsson", 9), ("lrasson", 1), ("lasrson", 1), ("larson", 1), ("walker", 9), ("walkr", 1), ("wlker", 1)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "one int, token string, n long")
+    got = {(r.token, r.main) for r in name_variants.similar_tokens(df, ["one"], 5, 0.85).collect()}
+    assert {(a, b) for a, b in got if b in ("larsson", "walker")} == {("lrasson", "larsson"), ("lasrson", "larsson"), ("larson", "larsson"), ("walkr", "walker"), ("wlker", "walker")}
