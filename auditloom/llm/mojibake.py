@@ -1,17 +1,19 @@
 """Problem 9: find text that was decoded with a wrong encoding and restore it, span by span.
 
 Garbled sequences are computed beforehand: for text in UTF-8 read with any one-byte encoding from the code tables alone,
-for text in a one-byte encoding read with another one from the tables and the corpus's own letter statistics. One
-Aho-Corasick automaton holds all of them; only matched spans are replaced, so correct text beside them stays.
+for text in a one-byte encoding read with another one from the tables. One Aho-Corasick automaton holds the first; the
+second are judged a sentence at a time by fixed letter statistics of languages, so that nothing depends on how many other
+documents are garbled, and single letters beside by the corpus's own trigrams. Only matched spans are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,23 @@ from pyspark.sql import functions as F
 # Python's names of the one-byte encodings that texts are read with.
 ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac-roman", "mac-cyrillic")
 SWAPPED = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-5", "koi8-r", "cp437", "cp850", "cp866", "mac-roman")
+# Letters outside ASCII per thousand letters of a language's text, rounded.
+LATIN = {
+    "fr": "é19 à5 è2.7 ê2.2 ç.9 î.5 ô.3 û.6 ù.6 â.5 ï.1 ë.1 œ.2", "de": "ü10 ä5.8 ö4.4 ß3.1", "es": "¿.5 ¡.1 ó8.3 í7.3 á5 é4.3 ñ3.1 ú1.7 ü.1", "pt": "ã7.3 ç5.3 é3.4 í2 ó3 ê4.5 á5 õ2 ú2 â2 à.7 ô1.5 ü.1", "it": "è2.6 à6.4 ò1.5 ù1.7 ì.5 é.5", "ca": "à6 é4 è4 ó6 í5 ç1.5 ï1 ò3 ú1.5 ü.5",
+    "sv": "ä18 å13.4 ö13 é.3", "da": "å12 ø9.4 æ8.7 é.5", "is": "ð44 á18 í15.7 þ14.6 ó10 æ8.7 ö7.8 é6.5 ú6.1 ý2.3", "fi": "ä36 ö4.4 å.1", "nl": "ë1 é.8 ï.5 ö.2 ü.1 è.2 ó.1", "et": "ä13 õ12 ü8 ö3 š.2 ž.1", "sq": "ë70 ç6",
+    "tr": "ı51 ü18.5 ş17.8 ğ11.3 ç11.6 ö7.8 İ3 â.2 î.1", "pl": "ł17.5 ę11 ą10 ó8.5 ż8 ś7 ć4 ń2 ź.8", "cs": "í16.4 á8.7 é6.3 ě12.2 š6.9 č4.6 ř3.8 ž7.2 ý10 ů2 ú1 ó.2 ť.1 ď.2 ň.1", "sk": "á17 í9 é7 ý9 č10 š8 ž9 ú9 ľ4 ť5 ň2 ô2 ä1 ď2 ó.9 ŕ.1 ĺ.1",
+    "hu": "é34 á34 ö8.2 ő8.8 ó6.1 ü6.5 í4.8 ú2.3 ű1.9", "ro": "ă40 î14 ş15 ţ10 ș15 ț10 â9", "hr": "č11 š10 ž6 ć8 đ3", "lt": "ė16 š11 ų13 ž9 ū4 į6 ą7 č4 ę2", "lv": "ā40 ī20 ē16 ū6 š9 ž2 ņ6 ļ4 ķ2 ģ1.5 č.8",
+}
+DENSE = {
+    "ru": "о110 е85 а80 и74 н67 т63 с55 р47 в45 л43 к35 м32 д30 п28 у26 я20 ы19 ь17 г17 з16 б16 ч14 й12 х10 ж9 ш7 ю6 ц5 щ3.6 э3.2 ф2.6 ъ.4 ё.4", "uk": "о94 а81 н68 и61 і57 в54 т55 е46 р47 с41 к36 л36 у34 д33 м31 п29 я23 з23 ь18 б17 г16 ч14 й13 х12 ж9 ш8 ц9 ю8 ї7 є6 щ5 ф4 ґ.1",
+    "bg": "а115 и95 о92 е86 т74 н69 р52 с48 в45 л36 к34 д33 п28 м25 з22 ъ16 я15 г15 б14 у14 ч12 й7 ж7 щ6 ц5 ш4 х5 ю2 ф3 ь.2", "sr": "а115 о97 е88 и96 н57 р50 с48 т44 в37 ј45 к36 л33 м33 у42 д37 п28 г16 з17 б15 ч9 љ5 ш10 ж6 ц9 х6 њ8 ћ7 ђ2 џ.4 ф2",
+    "el": "α99 ά18 ε60 έ21 η43 ή14 ι70 ί23 ο75 ό22 υ36 ύ7 ω18 ώ8 τ80 σ46 ς39 ν63 ρ42 κ41 π41 μ33 λ27 θ10 δ17 γ17 χ12 φ8 β7 ξ5 ζ4 ψ1.5 ϊ.5 ϋ.2 ΐ.2 ΰ.1",
+}
+#: Log probability under which a character isn't of the language; the one language whose letters are those of garbled Turkish.
+RARE, ICELANDIC = float(np.log(3e-5)), list(LATIN).index("is")
+#: Sentences and lines, each judged by itself, and words that hold a character outside ASCII.
+SENTENCE = re.compile(r"[^\n]*?(?:[.!?][\"')»”]*\s+|\n|$)")
+ODD_WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f\s][^\x00-\x40\x5b-\x60\x7b-\x7f\s]*")
 #: Characters whose garbled forms are looked for: Latin, combining marks, Greek, Cyrillic, punctuation, currency, arrows, mathematics, ligatures.
 RANGES = ((0x80, 0x17F), (0x300, 0x328), (0x386, 0x3CE), (0x401, 0x45F), (0x2010, 0x2044), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0xFB00, 0xFB02), (0xFEFF, 0xFEFF))
 QUOTE_LIKE = frozenset("‘’“”–—…•«»№\xa0")
@@ -104,6 +123,126 @@ def swap_patterns(documents: DataFrame, text: str = "text", ratio: float = 8.0,
     return {r.t: r.c for r in best.collect()}
 
 
+class Judge:
+    """Finds sentences of a one-byte encoding read with another one, by the likelihood of their letters in the fitting language."""
+
+    def __init__(self) -> None:
+        listed = [{x[0]: float(x[1:]) / 1000 for x in v.split()} for v in (*LATIN.values(), *DENSE.values())]
+        self.dense = np.arange(len(listed)) >= len(LATIN)
+        self.listed = listed
+        self.ascii = np.log([5e-4 if d else (1 - sum(f.values())) / 15 for f, d in zip(listed, self.dense)]).astype(np.float32)
+        self.maps: list[dict[str, str]] = []
+        tables = [_byte_table(e) for e in ONE_BYTE]
+        for true, wrong in permutations(tables, 2):
+            self.maps.append({w: t for w, t in zip(wrong[128:], true[128:]) if w != t and t.isprintable()})
+        self.plain: dict[str, np.ndarray] = {}
+        self.read: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def logs(self, c: str) -> np.ndarray:
+        """Log probability of a character in each language."""
+        if c not in self.plain:
+            low = c if c == "İ" else c.lower()
+            other = 1e-3 if c in QUOTE_LIKE else 2e-5 if c.isalpha() else 5e-6
+            self.plain[c] = np.log([f.get(low, other) for f in self.listed]).astype(np.float32)
+        return self.plain[c]
+
+    def readings(self, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair of encodings: log probabilities of what the character becomes, whether it changes, whether it is foreign then."""
+        if c not in self.read:
+            to = [m.get(c, c) for m in self.maps]
+            logs = np.stack([self.logs(x) for x in to])
+            self.read[c] = logs, np.array([x != c for x in to]), logs < RARE
+        return self.read[c]
+
+    def counts(self, sentence: str) -> tuple[dict[str, int], int]:
+        """The characters outside ASCII that stand in words, and the number of ASCII letters of those words."""
+        odd: dict[str, int] = {}
+        plain = 0
+        for word in ODD_WORD.findall(sentence):
+            if len(word) > 2:  # not units and symbols
+                for x in word:
+                    if x > "\x7f":
+                        odd[x] = odd.get(x, 0) + 1
+                    else:
+                        plain += 1
+        return odd, plain
+
+    def score(self, sentence: str) -> float:
+        odd, plain = self.counts(sentence)
+        return float((sum((self.logs(c) * n for c, n in odd.items()), np.zeros(1, np.float32)) + self.ascii * plain).max())
+
+    def gains(self, sentence: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """By how much each pair of encodings makes the sentence likelier (0 where it doesn't fit), and for which pairs that alone decides."""
+        odd, plain = self.counts(sentence)
+        size = sum(odd.values())
+        if not odd:
+            return None
+        base = self.ascii * plain
+        before = base + sum(self.logs(c) * n for c, n in odd.items())
+        lang = int(before.argmax())
+        foreign = sum(n for c, n in odd.items() if self.logs(c)[lang] < RARE)
+        after, changed, strange = np.tile(base, (len(self.maps), 1)), np.zeros(len(self.maps), int), np.zeros((len(self.maps), len(base)), int)
+        for c, n in odd.items():
+            logs, change, odd_then = self.readings(c)
+            after += logs * n
+            changed += change * n
+            strange += (odd_then & change[:, None]) * n
+        best, at = after.argmax(1), np.arange(len(self.maps))
+        gain = np.where((changed > 0) & (strange[at, best] <= 0.05 * changed), after[at, best] - before[lang], 0)
+        mean = gain / np.maximum(changed, 1)
+        many = self.dense[best] & (changed >= 20) & (mean >= 0.3) & (gain >= 20)
+        return gain, (changed >= 3) & (size >= 3) & (many | ((mean >= 2) & (gain >= (12 if foreign else 25))))
+
+    def right(self, sentence: str) -> bool:
+        """Whether all letters are of one language and about as frequent as they should be; that is most text and saves the rest."""
+        odd, plain = self.counts(sentence)
+        if not odd or _flips(sentence):
+            return not odd
+        logs = [(self.logs(c), n) for c, n in odd.items()]
+        lang = (self.ascii * plain + sum(x * n for x, n in logs)).argmax()
+        least = -3.6 if self.dense[lang] else -5.5
+        return lang != ICELANDIC and all(x[lang] >= RARE for x, _ in logs) and sum(x[lang] * n for x, n in logs) > least * sum(odd.values())
+
+    def repair(self, text: str, skip: Callable[[str], bool] = lambda sentence: False) -> tuple[str, int]:
+        """(text with garbled sentences read anew, number of characters changed); sentences that ``skip`` holds for stay.
+
+        A sentence that decides by itself gives the document's pairs of encodings; under those the others only have to
+        be likelier. Of pairs that suit a sentence nearly as well, the one that suits the whole document best is taken.
+        """
+        sentences = [x for x in SENTENCE.findall(text) if x]
+        found = [None if x.isascii() or self.right(x) or skip(x) else self.gains(x) for x in sentences]
+        if not any(f and f[1].any() for f in found):
+            return text, 0
+        total = sum(f[0] for f in found if f)
+        own: list[int | None] = []
+        for x, f in zip(sentences, found):
+            near = f[1] & (f[0] >= 0.7 * f[0][f[1]].max()) if f and f[1].any() else None
+            k = None if near is None else int(np.where(near, total, -np.inf).argmax())
+            own.append(k if k is not None and _flips(self.reread(x, k)) <= _flips(x) else None)
+        known = sorted({k for k in own if k is not None}, key=lambda k: -total[k])
+        n, out = 0, []
+        for x, f, k in zip(sentences, found, own):
+            if k is None and f:
+                k = next((j for j in known if f[0][j] >= 4 and _flips(self.reread(x, j)) <= _flips(x)), None)
+            new = x if k is None else self.reread(x, k)
+            n += sum(a != b for a, b in zip(x, new))
+            out.append(new)
+        return "".join(out), n
+
+    def reread(self, text: str, k: int) -> str:
+        return "".join(self.maps[k].get(c, c) for c in text)
+
+
+def _flips(text: str) -> int:
+    """Capitals after small letters, which right text hardly has."""
+    return sum(a.islower() and b.isupper() for a, b in zip(text, text[1:]))
+
+
+@cache
+def _judge() -> Judge:
+    return Judge()
+
+
 class Repairer:
     """Matches and replaces the garbled spans of one text at a time."""
 
@@ -137,11 +276,22 @@ class Repairer:
                 out.append((a, b, original))
         return out
 
+    def _swapped(self, text: str) -> list[tuple[int, str]]:
+        """Places whose trigram has another reading."""
+        plain = " " + re.sub(r"[\x00-\x40\x5B-\x60\x7B-\x7F]", " ", text) + " "
+        return [(i, c) for i, ch in enumerate(text) if ch > "\x7f" and (c := self.swaps.get(plain[i : i + 3]))]
+
+    def _explained(self, text: str) -> bool:
+        """Whether half of the characters outside ASCII are garbled UTF-8 or have another reading in the corpus."""
+        odd = sum(c > "\x7f" for c in text)
+        return 2 * sum(b - a for a, b, _ in self._utf8(text)) >= odd or bool(self.swaps) and 2 * len(self._swapped(text)) >= odd
+
     def repair(self, text: str | None) -> tuple[str | None, int, bool]:
         """(restored text, number of garbled spans, whether all could be restored)."""
         if not text or text.isascii():
             return text, 0, True
-        n = 0
+        # first, as some of its letters would pass for garbled UTF-8
+        text, n = _judge().repair(text, self._explained)
         for _ in range(6):  # text garbled several times is restored layer by layer
             spans = self._utf8(text)
             if not spans:
@@ -152,15 +302,18 @@ class Repairer:
                 parts += [text[at:a], original]
                 at = b
             text = "".join([*parts, text[at:]])
+        text, more = _judge().repair(text, self._explained)
+        n += more
         if self.swaps:
-            plain = " " + re.sub(r"[\x00-\x40\x5B-\x60\x7B-\x7F]", " ", text) + " "
-            hits = [(i, c) for i, ch in enumerate(text) if ch > "\x7f" and (c := self.swaps.get(plain[i : i + 3]))]
+            hits = self._swapped(text)
             if hits:
-                n += len(hits)
                 chars = list(text)
                 for i, c in hits:
                     chars[i] = c[1]
-                text = "".join(chars)
+                # where most of a language is garbled, its right letters are the rare ones: those stay
+                if _judge().score(new := "".join(chars)) >= _judge().score(text):
+                    n += len(hits)
+                    text = new
         lost = text.count("�")
         return text, n + lost, not lost and not re.search(r"[\x80-\x84\x86-\x9f]", text)
 

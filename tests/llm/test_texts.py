@@ -179,3 +179,17 @@ def test_repair_with_corpus_statistics(spark):
     out = {r.doc_id: r.restored for r in mojibake.repair_encoding(df).collect()}
     assert out == {120: "Sonsal dağılım zincir ile", 121: "Die Gütemaße müssen"}
     assert mojibake.repair_encoding(df.limit(0)).count() == 0
+
+
+def test_garbled_language_is_found_however_much_of_it_is_garbled(spark):
+    pl = "Wyniki zostały uśrednione po sześciu łańcuchach i są zgodne z założeniami modelu."
+    ru = "Данные собраны на площадке в течение шести месяцев и проверены дважды."
+    de = "Die Gütemaße müssen für die Prüfung vollständig sein. Die Größe wurde später geschätzt."
+    right = {"pl": (pl, pl.encode("cp1250").decode("cp1252")), "ru": (ru, ru.encode("cp1251").decode("cp1252")), "koi8": (ru, ru.encode("koi8-r").decode("cp1251")), "de": (de, de.encode("cp1252").decode("cp1251"))}
+    rows = [(f"{k}{i}", bad) for k, (_, bad) in right.items() for i in range(40)]
+    good = [(f"ok{i}", t) for i, t in enumerate([pl] * 3 + ["L’échantillon a été prélevé à l’été; χ² et R² en µm.", "São necessárias mais iterações, não são válidas.", "We thank Łukasz Müller and José García."] * 5)]
+    df = spark.createDataFrame(rows + good, "doc_id string, text string")
+    got = {r.doc_id: r.restored for r in mojibake.repair_encoding(df).collect()}
+    assert got == {f"{k}{i}": t for k, (t, _) in right.items() for i in range(40)}
+    for text, bad in right.values():
+        assert mojibake.Repairer({}).repair(bad)[0] == text
