@@ -113,27 +113,36 @@ def search(tokens: np.ndarray, sa: np.ndarray, queries: np.ndarray, starts: np.n
 def best_chain(q: np.ndarray, p: np.ndarray, n: np.ndarray, gap: int = 8) -> tuple[int, int, int, int, int]:
     """The chain of matches (item word q, text word p, n words) that spans most of the item: span, matched, q, p, words of the text.
 
-    Matches follow each other in both texts with at most ``gap`` words between them; a chain may hold a quarter of other words.
+    Matches follow each other in both texts with at most ``gap`` words between them; a chain may hold three in ten other words.
+    Of each match all chains are kept that may still become the best one, not only the one with most words: chance matches
+    before a passage mustn't hide it.
     """
     order = np.lexsort((q, p))
     q, p, n = q[order].tolist(), p[order].tolist(), n[order].tolist()
-    best: list[tuple[int, int, int]] = []  # matched words, first match, last of the chain before
+    best: list[list[tuple[int, int]]] = []  # of each match the chains that end there: matched words, first match
     top = (0, 0, 0, 0, 0)
     for i in range(len(q)):
-        mine = (n[i], i)
+        mine = {i: n[i]}
         for j in range(i - 1, -1, -1):
             dp = p[i] - p[j] - n[j]
             if dp > gap + 200:
                 break
             dq = q[i] - q[j] - n[j]
             overlap = max(0, -dp, -dq)
-            if overlap < n[i] and overlap < n[j] and dp <= gap and dq <= gap and q[i] > q[j] and p[i] > p[j] and best[j][0] + n[i] - overlap > mine[0]:
-                mine = (best[j][0] + n[i] - overlap, best[j][1])
-        best.append((mine[0], mine[1], i))
-        f = mine[1]
-        span, width = q[i] + n[i] - q[f], p[i] + n[i] - p[f]
-        if mine[0] >= 0.7 * max(span, width) and span > top[0]:
-            top = (span, mine[0], q[f], p[f], width)
+            if overlap < n[i] and overlap < n[j] and dp <= gap and dq <= gap and q[i] > q[j] and p[i] > p[j]:
+                for matched, f in best[j]:
+                    mine[f] = max(mine.get(f, 0), matched + n[i] - overlap)
+        # a chain is out if another one spans as much and has as good a share of matched words in both texts
+        kept: list[tuple[int, int]] = []
+        for f in sorted(mine, key=lambda f: (q[f], -mine[f], p[f])):
+            in_item, in_text = 10 * mine[f] + 7 * q[f], 10 * mine[f] + 7 * p[f]
+            if not any(10 * m + 7 * q[g] >= in_item and 10 * m + 7 * p[g] >= in_text for m, g in kept):
+                kept.append((mine[f], f))
+        best.append(kept)
+        for matched, f in kept:
+            span, width = q[i] + n[i] - q[f], p[i] + n[i] - p[f]
+            if matched >= 0.7 * max(span, width) and span > top[0]:
+                top = (span, matched, q[f], p[f], width)
     return top
 
 

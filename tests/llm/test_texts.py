@@ -144,6 +144,35 @@ def test_leaks(spark):
     assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 7, 9}
 
 
+def test_chance_matches_do_not_hide_a_passage(spark):
+    item = [f"w{i}" for i in range(61)]
+    fill = lambda k, n: [f"x{k}y{i}" for i in range(n)]
+    doc = item[:4] + fill(1, 8) + item[12:16] + fill(2, 8) + item[24:45]
+    df = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(item[24:45])), (3, " ".join(item[24:44]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.span_words, r.matched_words, r.item_word) for r in contamination.find_leaks(df, items).collect()}
+    assert got == {(1, 33, 25, 12), (2, 21, 21, 24)}
+
+
+def test_best_chain_matches_all_chains():
+    rng = random.Random(3)
+    for _ in range(150):
+        m = [np.array(x) for x in zip(*sorted({(rng.randrange(60), rng.randrange(60), rng.randrange(4, 12)) for _ in range(7)}))]
+        q, p, n = (x.tolist() for x in m)
+        want = 0
+        stack = [(i, i, n[i]) for i in range(len(q))]
+        while stack:
+            f, j, w = stack.pop()
+            span, width = q[j] + n[j] - q[f], p[j] + n[j] - p[f]
+            want = max(want, span if w >= 0.7 * max(span, width) else 0)
+            for i in range(len(q)):
+                dp, dq = p[i] - p[j] - n[j], q[i] - q[j] - n[j]
+                over = max(0, -dp, -dq)
+                if q[i] > q[j] and p[i] > p[j] and dp <= 8 and dq <= 8 and over < n[i] and over < n[j]:
+                    stack.append((f, i, w + n[i] - over))
+        assert contamination.best_chain(*m)[0] == want
+
+
 # --- problem 9
 
 TEXTS = ("Größe und Höhe – naïve café", "Łukowiec ąęśćż", "Данные собраны на площадке", "l’analyse de l’étude", "“good mixing” ± 2 ≤ 3", "χ² of σ and β", "Sonsal dağılım ığış")
