@@ -145,13 +145,12 @@ def _rater_logs(counts: DataFrame, model: Communities, strength: float) -> DataF
     return counts.mapInPandas(run, "rater_id string, task string, code int, l0 double, l1 double, l2 double, l3 double")
 
 
-def _posterior(votes: DataFrame, logs: DataFrame, priors: dict[str, np.ndarray], small: bool) -> DataFrame:
+def _posterior(votes: DataFrame, logs: DataFrame, priors: DataFrame, small: bool) -> DataFrame:
     """Per item the probability of each label: work_id, step_id, task, q0 .. q3."""
     table = F.broadcast(logs) if small else logs
     sums = votes.join(table, ["rater_id", "task", "code"]).groupBy("work_id", "step_id", "task").agg(*[F.sum(f"l{t}").alias(f"s{t}") for t in range(4)])
-    lookup = F.create_map(*[x for step, p in priors.items() for x in (F.lit(step), F.array(*[F.lit(float(np.log(v))) for v in p]))])
-    sums = sums.withColumn("_p", F.coalesce(F.try_element_at(lookup, F.col("step_id")), F.array(*[F.lit(0.0)] * 4)))
-    scores = [F.col(f"s{t}") + F.col("_p")[t] for t in range(4)]
+    sums = sums.join(priors, ["step_id", "task"])
+    scores = [F.col(f"s{t}") + F.col(f"p{t}") for t in range(4)]
     sums = sums.withColumn("_m", F.greatest(*scores))
     weights = [F.exp(s - F.col("_m")) for s in scores]
     return sums.select("work_id", "step_id", "task", *[(w / sum(weights[1:], weights[0])).alias(f"q{t}") for t, w in enumerate(weights)])
@@ -163,15 +162,12 @@ def _rater_counts(votes: DataFrame, posterior: DataFrame) -> DataFrame:
     return joined.groupBy("rater_id").agg(*[F.sum(F.when((F.col("task") == task) & (F.col("code") == l), F.col(f"q{t}")).otherwise(0.0)).alias(_columns(task, t, l)) for task, t, l in CELLS])  # noqa: E741
 
 
-def _step_priors(posterior: DataFrame, limit: int = 1000) -> dict[str, np.ndarray]:
-    """Smoothed label shares of each kind of item. Steps come from the rubric's short list; beyond ``limit`` of them the shares of the task are used."""
-    shares = posterior.groupBy("step_id", "task").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"q{t}").alias(f"q{t}") for t in range(4)]).orderBy(F.desc("n"), "step_id").limit(limit).collect()
-    out = {}
-    for r in shares:
-        k = len(TASKS[r.task])
-        p = np.array([r[f"q{t}"] for t in range(k)]) + 1.0
-        out[r.step_id] = np.concatenate([p / p.sum(), np.full(4 - k, 1e-300)])
-    return out
+def _step_priors(posterior: DataFrame) -> DataFrame:
+    """Logs of the smoothed label shares of each kind of item, however many there are: step_id, task, p0 .. p3."""
+    shares = posterior.groupBy("step_id", "task").agg(*[F.sum(f"q{t}").alias(f"q{t}") for t in range(4)])
+    used = [F.col("task").isin([task for task, labels in TASKS.items() if t < len(labels)]) for t in range(4)]
+    smooth = [F.when(u, F.col(f"q{t}") + 1.0).otherwise(0.0) for t, u in enumerate(used)]
+    return shares.select("step_id", "task", *[F.when(u, F.log(x / sum(smooth[1:], smooth[0]))).otherwise(float(np.log(1e-300))).alias(f"p{t}") for t, (u, x) in enumerate(zip(used, smooth))])
 
 
 class Consensus:
@@ -197,9 +193,9 @@ def fit_consensus(ratings: DataFrame, rounds: int = 15, tolerance: float = 2e-3,
     share = tally.select("work_id", "step_id", "task", *[(F.col(f"n{t}") / total).alias(f"q{t}") for t in range(4)])
     counts = cut(_rater_counts(votes, share))
     small = counts.count() <= BROADCAST_RATERS
-    priors = _step_priors(share)
+    priors = cut(_step_priors(share))
     done = 0
-    if priors:
+    if not priors.isEmpty():
         for done in range(1, rounds + 1):
             before = model.means()
             for _ in range(3):  # types and matrices settle on the same counts first; that needs no pass over the votes

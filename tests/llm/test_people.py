@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from auditloom.llm import canonical_values, consensus_labels, name_variants
 
@@ -169,3 +170,17 @@ def test_short_family_names_with_one_typo(spark):
     df = spark.createDataFrame([(1, *r) for r in rows], "one int, token string, n long")
     got = {(r.token, r.main) for r in name_variants.similar_tokens(df, ["one"], 5, 0.85).collect()}
     assert {(a, b) for a, b in got if b in ("larsson", "walker")} == {("lrasson", "larsson"), ("lasrson", "larsson"), ("larson", "larsson"), ("walkr", "walker"), ("wlker", "walker")}
+
+
+def test_every_step_id_has_its_label_shares(spark):
+    rows = [(f"w{i}", f"S{k}", "step", float(k % 2), float(1 - k % 2), 0.0, 0.0) for k in range(1200) for i in range(2)] + [("w0", "R", next(t for t in consensus_labels.TASKS if t == "relevance"), 1.0, 0.0, 0.0, 0.0)]
+    task = next(t for t in consensus_labels.TASKS if t != "relevance")
+    share = spark.createDataFrame([(w, s, task if t == "step" else t, *q) for w, s, t, *q in rows], "work_id string, step_id string, task string, q0 double, q1 double, q2 double, q3 double")
+    votes = share.filter("work_id = 'w0'").select("work_id", "step_id", "task", F.lit("r").alias("rater_id"), F.lit(0).alias("code"))
+    logs = spark.createDataFrame([("r", t, 0, 0.0, 0.0, 0.0, 0.0) for t in consensus_labels.TASKS], "rater_id string, task string, code int, l0 double, l1 double, l2 double, l3 double")
+    got = {r.step_id: (r.q0, r.q1, r.q2, r.q3) for r in consensus_labels._posterior(votes, logs, consensus_labels._step_priors(share), False).collect()}
+    assert len(got) == 1201
+    k = len(consensus_labels.TASKS[task])
+    for i in range(1200):
+        want = [((3.0 if t == 1 - i % 2 else 1.0) / (k + 2)) if t < k else 0.0 for t in range(4)]
+        assert np.allclose(got[f"S{i}"], want, atol=1e-9)
