@@ -1,26 +1,27 @@
 """Problem 9: find text that was decoded with a wrong encoding and restore it, span by span.
 
-Garbled sequences are computed beforehand: for text in UTF-8 read with any one-byte encoding from the code tables alone,
-for text in a one-byte encoding read with another one from the tables. One Aho-Corasick automaton holds the first; the
-second are judged a sentence at a time by fixed letter statistics of languages, so that nothing depends on how many other
-documents are garbled, and single letters beside by the corpus's own trigrams. Only matched spans are replaced.
+Garbled sequences are computed beforehand for all encoding pairs and stand in one Aho-Corasick automaton: of text in UTF-8
+read with any one-byte encoding, and of the letters of 27 languages in a one-byte encoding read with any other one. The
+first decide by themselves. The second may also be right letters of another language, so the hits of a sentence decide
+together, by fixed letter statistics: nothing depends on what else stands in the corpus. Only matched spans are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Python's names of the one-byte encodings that texts are read with.
 ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac-roman", "mac-cyrillic")
-SWAPPED = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859-5", "koi8-r", "cp437", "cp850", "cp866", "mac-roman")
 # Letters outside ASCII per thousand letters of a language's text, rounded.
 LATIN = {
     "fr": "é19 à5 è2.7 ê2.2 ç.9 î.5 ô.3 û.6 ù.6 â.5 ï.1 ë.1 œ.2", "de": "ü10 ä5.8 ö4.4 ß3.1", "es": "¿.5 ¡.1 ó8.3 í7.3 á5 é4.3 ñ3.1 ú1.7 ü.1", "pt": "ã7.3 ç5.3 é3.4 í2 ó3 ê4.5 á5 õ2 ú2 â2 à.7 ô1.5 ü.1", "it": "è2.6 à6.4 ò1.5 ù1.7 ì.5 é.5", "ca": "à6 é4 è4 ó6 í5 ç1.5 ï1 ò3 ú1.5 ü.5",
@@ -38,13 +39,13 @@ RARE, ICELANDIC = float(np.log(3e-5)), list(LATIN).index("is")
 #: Sentences and lines, each judged by itself, and words that hold a character outside ASCII.
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?][\"')»”]*\s+|\n|$)")
 ODD_WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f\s][^\x00-\x40\x5b-\x60\x7b-\x7f\s]*")
-#: Characters whose garbled forms are looked for: Latin, combining marks, Greek, Cyrillic, punctuation, currency, arrows, mathematics, ligatures.
-RANGES = ((0x80, 0x17F), (0x300, 0x328), (0x386, 0x3CE), (0x401, 0x45F), (0x2010, 0x2044), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0xFB00, 0xFB02), (0xFEFF, 0xFEFF))
+#: Characters whose garbled UTF-8 is looked for: Latin (Vietnamese too), combining marks, Greek, Cyrillic, Hebrew, Arabic, spaces and
+#: punctuation, currency, arrows, mathematics, kana, ligatures, emoji; beside them all that a one-byte encoding holds.
+RANGES = ((0x80, 0x17F), (0x218, 0x21B), (0x300, 0x328), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5BE, 0x5EA), (0x60C, 0x652), (0x1EA0, 0x1EF9), (0x2002, 0x2044), (0x2060, 0x2063), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x3001, 0x30FF), (0xFB00, 0xFB02), (0xFEFF, 0xFEFF), (0x1F300, 0x1F64F))
 QUOTE_LIKE = frozenset("‘’“”–—…•«»№\xa0")
-#: A letter or a quotation mark between letters and spaces.
-WORD_LIKE = re.compile(r"(?:[^\W\d_]| )(?:[^\W\d_ªº]|[‘’“”–])(?:[^\W\d_]| )")
-#: Center characters whose neighbours are counted: all that a one-byte encoding can hold.
-CENTER = r"[\x{80}-\x{52F}\x{2010}-\x{2044}\x{20A7}\x{20AC}\x{2116}\x{2122}\x{2200}-\x{2265}\x{2310}-\x{2321}\x{2500}-\x{25A0}]"
+FLIP = regex.compile(r"\p{Ll}(?=\p{Lu})")
+#: Log of how much rarer a capital is right after a small letter, or a symbol between letters; symbols that right text has there.
+INSIDE, WITHIN_WORDS = float(np.log(1e-3)), QUOTE_LIKE | frozenset("©®™°·§¶†")
 
 
 def _byte_table(encoding: str) -> list[str]:
@@ -68,134 +69,110 @@ def utf8_patterns() -> dict[str, tuple[str, bool, bool]]:
         for original in sorted(wanted):
             garbled = "".join(table[b] for b in original.encode())
             rest, cyrillic = garbled[1:], "Ѐ" <= garbled[0] <= "ӿ"
-            weak = all(c in QUOTE_LIKE or (cyrillic and "Ѐ" <= c <= "ӿ") for c in rest) or garbled == "√π"
-            out.setdefault(garbled, (original, weak and len(rest) == 1, cyrillic))
+            weak = garbled[0] == "×" or garbled == "√π" or all(c in QUOTE_LIKE or (cyrillic and "Ѐ" <= c <= "ӿ") for c in rest)
+            out.setdefault(garbled, (original, weak and (len(rest) == 1 or cyrillic), cyrillic))
     for b, c in enumerate(tables[0]):
         if 0x80 <= b < 0xA0 and c != chr(b):
             out.setdefault(chr(b), (c, False, False))
     return out
 
 
-def trigrams(text: Column) -> Column:
-    """Each character of a one-byte encoding outside ASCII with its neighbours; other neighbours than letters count as a space."""
-    plain = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]", " ")
-    return F.regexp_extract_all(plain, F.lit(rf"(?=([\s\S]{CENTER}[\s\S]))"), F.lit(1))
+@cache
+def encoding_pairs() -> list[dict[str, str]]:
+    """For every pair of different one-byte encodings (true, wrong), what each garbled character was."""
+    tables = [_byte_table(e) for e in ONE_BYTE]
+    return [{w: t for w, t in zip(wrong[128:], true[128:]) if w != t and t.isprintable()} for true, wrong in permutations(tables, 2)]
 
 
-def _swaps(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every reading of a trigram under each pair of encodings in which its center changes."""
-    pairs, utf8 = list(permutations(SWAPPED, 2)), Repairer({})
-    for part in rows:
-        out = []
-        for t, n in zip(part["t"], part["n"]):
-            if t[1].isspace() or not t[1].isprintable():
-                continue
-            seen = set()
-            encoded = {}
-            for e in SWAPPED:
-                try:
-                    encoded[e] = t.encode(e)
-                except UnicodeEncodeError:
-                    pass
-            for true, wrong in pairs:
-                if wrong in encoded:
-                    try:
-                        c = encoded[wrong].decode(true)
-                    except UnicodeDecodeError:
-                        continue
-                    if c[1] != t[1] and c not in seen and WORD_LIKE.match(c) and not utf8.repair(c)[1]:
-                        seen.add(c)
-                        out.append((t, n, c))
-        yield pd.DataFrame(out, columns=["t", "n", "c"])
-
-
-def swap_patterns(documents: DataFrame, text: str = "text", ratio: float = 8.0, floor: float = 2e-5) -> dict[str, str]:
-    """Trigrams of the corpus that are rare as they stand and ``ratio`` times as frequent in another reading -> that reading.
-
-    The counts cover all documents. A reading must make up ``floor`` of all counted trigrams (and 5 of them), so there are
-    at most 1/floor readings, each with one garbled form per pair of encodings: that bounds what goes to the driver.
-    """
-    counts = documents.select(F.explode(trigrams(F.col(text))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.filter(F.col("n") >= max(5.0, floor * total)).select(F.col("t").alias("c"), F.col("n").alias("m"))
-    swaps = counts.mapInPandas(_swaps, "t string, n long, c string").join(frequent, "c").filter(F.col("m") >= ratio * F.col("n"))
-    best = swaps.groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("c"))
-    return {r.t: r.c for r in best.collect()}
+@cache
+def letter_patterns() -> dict[str, np.ndarray]:
+    """Garbled letter or quotation mark -> for which of the encoding pairs it is one."""
+    letters = {x[0] for v in (*LATIN.values(), *DENSE.values()) for x in v.split()} | QUOTE_LIKE
+    pairs = encoding_pairs()
+    out: dict[str, np.ndarray] = {}
+    for k, pair in enumerate(pairs):
+        for garbled, true in pair.items():
+            if true in letters or true.lower() in letters:
+                out.setdefault(garbled, np.zeros(len(pairs), bool))[k] = True
+    return out
 
 
 class Judge:
-    """Finds sentences of a one-byte encoding read with another one, by the likelihood of their letters in the fitting language."""
+    """Finds sentences of a one-byte encoding read with another one, by the likelihood of their letters in the fitting language.
+
+    A letter is told from its place too: right after a small letter there is hardly a capital.
+    """
 
     def __init__(self) -> None:
         listed = [{x[0]: float(x[1:]) / 1000 for x in v.split()} for v in (*LATIN.values(), *DENSE.values())]
         self.dense = np.arange(len(listed)) >= len(LATIN)
         self.listed = listed
         self.ascii = np.log([5e-4 if d else (1 - sum(f.values())) / 15 for f, d in zip(listed, self.dense)]).astype(np.float32)
-        self.maps: list[dict[str, str]] = []
-        tables = [_byte_table(e) for e in ONE_BYTE]
-        for true, wrong in permutations(tables, 2):
-            self.maps.append({w: t for w, t in zip(wrong[128:], true[128:]) if w != t and t.isprintable()})
-        self.plain: dict[str, np.ndarray] = {}
-        self.read: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def logs(self, c: str) -> np.ndarray:
-        """Log probability of a character in each language."""
-        if c not in self.plain:
+        self.maps, self.patterns = encoding_pairs(), letter_patterns()
+        # among pairs that suit as well, the encodings that most text is in come first
+        self.common = np.array([2.0 * (true in ("cp1252", "cp1250", "cp1251")) for true, _ in permutations(ONE_BYTE, 2)])
+        self.never = np.zeros(len(self.maps), bool)
+        self.plain: dict[tuple[str, int], np.ndarray] = {}
+        self.read: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def logs(self, at: tuple[str, int]) -> np.ndarray:
+        """Log probability of a character, at its place, in each language."""
+        if at not in self.plain:
+            c, place = at
             low = c if c == "İ" else c.lower()
             other = 1e-3 if c in QUOTE_LIKE else 2e-5 if c.isalpha() else 5e-6
-            self.plain[c] = np.log([f.get(low, other) for f in self.listed]).astype(np.float32)
-        return self.plain[c]
-
-    def readings(self, c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each pair of encodings: log probabilities of what the character becomes, whether it changes, whether it is foreign then."""
-        if c not in self.read:
-            to = [m.get(c, c) for m in self.maps]
-            logs = np.stack([self.logs(x) for x in to])
-            self.read[c] = logs, np.array([x != c for x in to]), logs < RARE
-        return self.read[c]
-
-    def counts(self, sentence: str) -> tuple[dict[str, int], int]:
-        """The characters outside ASCII that stand in words, and the number of ASCII letters of those words."""
-        odd: dict[str, int] = {}
+            self.plain[at] = np.log([f.get(low, other) for f in self.listed]).astype(np.float32) + (INSIDE if (place and c.isupper()) or (place == 2 and not c.isalpha() and c not in "’–") else 0)
+        return self.plain[at]
+
+    def readings(self, at: tuple[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of encodings: log probabilities of what the character becomes, whether it is foreign then."""
+        if at not in self.read:
+            logs = np.stack([self.logs((m.get(at[0], at[0]), at[1])) for m in self.maps])
+            self.read[at] = logs, logs < RARE
+        return self.read[at]
+
+    def counts(self, sentence: str) -> tuple[dict[tuple[str, int], int], int]:
+        """The characters outside ASCII that stand in words, with their place (1 after a small ASCII letter, 2 before another letter too), and the number of ASCII letters of those words."""
+        odd: dict[tuple[str, int], int] = {}
         plain = 0
         for word in ODD_WORD.findall(sentence):
             if len(word) > 2:  # not units and symbols
-                for x in word:
+                before = " "
+                for x, after in zip(word, word[1:] + " "):
                     if x > "\x7f":
-                        odd[x] = odd.get(x, 0) + 1
+                        at = x, ("a" <= before <= "z") + ("a" <= before <= "z" and after.isalpha())
+                        odd[at] = odd.get(at, 0) + 1
                     else:
                         plain += 1
+                    before = x
         return odd, plain
 
     def score(self, sentence: str) -> float:
         odd, plain = self.counts(sentence)
         return float((sum((self.logs(c) * n for c, n in odd.items()), np.zeros(1, np.float32)) + self.ascii * plain).max())
 
-    def gains(self, sentence: str) -> tuple[np.ndarray, np.ndarray] | None:
+    def gains(self, odd: dict[tuple[str, int], int], plain: int) -> tuple[np.ndarray, np.ndarray]:
         """By how much each pair of encodings makes the sentence likelier (0 where it doesn't fit), and for which pairs that alone decides."""
-        odd, plain = self.counts(sentence)
         size = sum(odd.values())
-        if not odd:
-            return None
         base = self.ascii * plain
         before = base + sum(self.logs(c) * n for c, n in odd.items())
         lang = int(before.argmax())
         foreign = sum(n for c, n in odd.items() if self.logs(c)[lang] < RARE)
-        after, changed, strange = np.tile(base, (len(self.maps), 1)), np.zeros(len(self.maps), int), np.zeros((len(self.maps), len(base)), int)
+        after, hits, strange = np.tile(base, (len(self.maps), 1)), np.zeros(len(self.maps), int), np.zeros((len(self.maps), len(base)), int)
         for c, n in odd.items():
-            logs, change, odd_then = self.readings(c)
+            logs, odd_then = self.readings(c)
+            hit = self.patterns.get(c[0], self.never)
             after += logs * n
-            changed += change * n
-            strange += (odd_then & change[:, None]) * n
+            hits += hit * n
+            strange += (odd_then & hit[:, None]) * n
         best, at = after.argmax(1), np.arange(len(self.maps))
-        gain = np.where((changed > 0) & (strange[at, best] <= 0.05 * changed), after[at, best] - before[lang], 0)
-        mean = gain / np.maximum(changed, 1)
-        many = self.dense[best] & (changed >= 20) & (mean >= 0.3) & (gain >= 20)
-        return gain, (changed >= 3) & (size >= 3) & (many | ((mean >= 2) & (gain >= (12 if foreign else 25))))
+        gain = np.where((hits > 0) & (strange[at, best] <= 0.05 * hits), after[at, best] - before[lang], 0)
+        mean = gain / np.maximum(hits, 1)
+        many = self.dense[best] & (hits >= 20) & (mean >= 0.3) & (gain >= 20)
+        return gain, (hits >= 3) & (size >= 3) & (many | ((mean >= 2) & (gain >= (12 if foreign else 25))))
 
-    def right(self, sentence: str) -> bool:
+    def right(self, sentence: str, odd: dict[tuple[str, int], int], plain: int) -> bool:
         """Whether all letters are of one language and about as frequent as they should be; that is most text and saves the rest."""
-        odd, plain = self.counts(sentence)
         if not odd or _flips(sentence):
             return not odd
         logs = [(self.logs(c), n) for c, n in odd.items()]
@@ -203,39 +180,58 @@ class Judge:
         least = -3.6 if self.dense[lang] else -5.5
         return lang != ICELANDIC and all(x[lang] >= RARE for x, _ in logs) and sum(x[lang] * n for x, n in logs) > least * sum(odd.values())
 
-    def repair(self, text: str, skip: Callable[[str], bool] = lambda sentence: False) -> tuple[str, int]:
-        """(text with garbled sentences read anew, number of characters changed); sentences that ``skip`` holds for stay.
+    def repair(self, text: str, hits: list[int], utf8: Callable[[str], tuple[str, int]]) -> tuple[str, int]:
+        """(text with garbled sentences read anew, number of characters changed).
 
-        A sentence that decides by itself gives the document's pairs of encodings; under those the others only have to
-        be likelier. Of pairs that suit a sentence nearly as well, the one that suits the whole document best is taken.
+        ``hits``: the places of garbled letters that the automaton gave; only sentences with some are judged. A sentence that
+        decides by itself gives the document's pairs of encodings; under those the others only have to be likelier. Of pairs
+        that suit a sentence nearly as well, the one that suits the whole document best is taken. A sentence that ``utf8``
+        makes as likely as any pair, or of which it explains half, is left to that.
         """
-        sentences = [x for x in SENTENCE.findall(text) if x]
-        found = [None if x.isascii() or self.right(x) or skip(x) else self.gains(x) for x in sentences]
+        sentences, found, at, k = [], [], 0, 0
+        for x in SENTENCE.findall(text):
+            if x:
+                at += len(x)
+                some = k
+                while k < len(hits) and hits[k] < at:
+                    k += 1
+                sentences.append(x)
+                found.append(self._judged(x, utf8) if k > some else None)
         if not any(f and f[1].any() for f in found):
             return text, 0
-        total = sum(f[0] for f in found if f)
+        total = sum(f[0] for f in found if f) + self.common
         own: list[int | None] = []
         for x, f in zip(sentences, found):
             near = f[1] & (f[0] >= 0.7 * f[0][f[1]].max()) if f and f[1].any() else None
             k = None if near is None else int(np.where(near, total, -np.inf).argmax())
-            own.append(k if k is not None and _flips(self.reread(x, k)) <= _flips(x) else None)
+            own.append(k if k is not None and self._better(x, k, utf8) else None)
         known = sorted({k for k in own if k is not None}, key=lambda k: -total[k])
         n, out = 0, []
         for x, f, k in zip(sentences, found, own):
             if k is None and f:
-                k = next((j for j in known if f[0][j] >= 4 and _flips(self.reread(x, j)) <= _flips(x)), None)
+                k = next((j for j in known if f[0][j] >= 4 and self._better(x, j, utf8)), None)
             new = x if k is None else self.reread(x, k)
             n += sum(a != b for a, b in zip(x, new))
             out.append(new)
         return "".join(out), n
 
+    def _judged(self, sentence: str, utf8: Callable[[str], tuple[str, int]]) -> tuple[np.ndarray, np.ndarray] | None:
+        odd, plain = self.counts(sentence)
+        if self.right(sentence, odd, plain) or 2 * utf8(sentence)[1] >= sum(c > "\x7f" for c in sentence):
+            return None
+        return self.gains(odd, plain)
+
+    def _better(self, sentence: str, k: int, utf8: Callable[[str], tuple[str, int]]) -> bool:
+        new, (other, n) = self.reread(sentence, k), utf8(sentence)
+        return _flips(new) <= _flips(sentence) and not (n and self.score(other) >= self.score(new))
+
     def reread(self, text: str, k: int) -> str:
         return "".join(self.maps[k].get(c, c) for c in text)
 
 
 def _flips(text: str) -> int:
     """Capitals after small letters, which right text hardly has."""
-    return sum(a.islower() and b.isupper() for a, b in zip(text, text[1:]))
+    return len(FLIP.findall(text))
 
 
 @cache
@@ -243,30 +239,42 @@ def _judge() -> Judge:
     return Judge()
 
 
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for a, b, original in spans:
+        parts += [text[at:a], original]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
 class Repairer:
     """Matches and replaces the garbled spans of one text at a time."""
 
-    def __init__(self, swaps: dict[str, str]):
+    def __init__(self) -> None:
         import ahocorasick
 
-        self.known, self.swaps = utf8_patterns(), swaps
+        self.known, self.letters = utf8_patterns(), letter_patterns()
         self.automaton = ahocorasick.Automaton()
-        for garbled in self.known:
-            self.automaton.add_word(garbled, len(garbled))
+        for garbled in {**self.known, **self.letters}:
+            self.automaton.add_word(garbled, (len(garbled), garbled in self.known))
         self.automaton.make_automaton()
 
-    def _utf8(self, text: str) -> list[tuple[int, int, str]]:
-        """Spans to replace: the longest match at each place, weak ones only in company."""
+    def match(self, text: str) -> tuple[list[tuple[int, int, str]], list[int]]:
+        """Spans of garbled UTF-8 to replace (the longest match at each place, weak ones only in company), and the places of garbled letters."""
         spans: list[tuple[int, int]] = []
-        for end, size in self.automaton.iter(text):
+        letters = []
+        for end, (size, utf8) in self.automaton.iter(text):
             start = end + 1 - size
-            while spans and spans[-1][0] >= start:
-                spans.pop()
-            if not spans or spans[-1][1] <= start:
-                spans.append((start, end + 1))
+            if size == 1 and text[end] in self.letters:
+                letters.append(end)
+            if utf8:
+                while spans and spans[-1][0] >= start:
+                    spans.pop()
+                if not spans or spans[-1][1] <= start:
+                    spans.append((start, end + 1))
         info = [self.known[text[a:b]] for a, b in spans]
         if not info or any(not weak for _, weak, _ in info):
-            return [(a, b, original) for (a, b), (original, _, _) in zip(spans, info)]
+            return [(a, b, original) for (a, b), (original, _, _) in zip(spans, info)], letters
         out = []
         for k, ((a, b), (original, _, cyrillic)) in enumerate(zip(spans, info)):
             before, after = k and spans[k - 1][1] == a, k + 1 < len(spans) and spans[k + 1][0] == b
@@ -274,65 +282,72 @@ class Repairer:
             run = (k > 1 and before and spans[k - 2][1] == spans[k - 1][0]) or (before and after) or (after and k + 2 < len(spans) and spans[k + 1][1] == spans[k + 2][0])
             if run if cyrillic else (before or after or inside):
                 out.append((a, b, original))
-        return out
+        return out, letters
 
-    def _swapped(self, text: str) -> list[tuple[int, str]]:
-        """Places whose trigram has another reading."""
-        plain = " " + re.sub(r"[\x00-\x40\x5B-\x60\x7B-\x7F]", " ", text) + " "
-        return [(i, c) for i, ch in enumerate(text) if ch > "\x7f" and (c := self.swaps.get(plain[i : i + 3]))]
+    def _utf8(self, text: str) -> tuple[str, int]:
+        """(text with garbled UTF-8 replaced, number of characters that were garbled)."""
+        spans = self.match(text)[0]
+        return _replaced(text, spans), sum(b - a for a, b, _ in spans)
 
-    def _explained(self, text: str) -> bool:
-        """Whether half of the characters outside ASCII are garbled UTF-8 or have another reading in the corpus."""
-        odd = sum(c > "\x7f" for c in text)
-        return 2 * sum(b - a for a, b, _ in self._utf8(text)) >= odd or bool(self.swaps) and 2 * len(self._swapped(text)) >= odd
+    def _misplaced(self, text: str, letters: list[int]) -> list[tuple[int, str]]:
+        """Garbled letters that show by their place: symbols, or capitals, among the small letters of a word of four or more."""
+        out = []
+        for i in letters:
+            c = text[i]
+            if 0 < i < len(text) - 1 and "a" <= text[i + 1] <= "z" and c not in WITHIN_WORDS and ((small := "a" <= text[i - 1] <= "z") or "A" <= text[i - 1] <= "Z"):
+                symbol = unicodedata.category(c)[0] in "PS" and unicodedata.category(c) != "Sm"
+                if symbol or c.isupper():
+                    a = b = i
+                    while a and text[a - 1].isascii() and text[a - 1].isalpha():
+                        a -= 1
+                    while b + 1 < len(text) and text[b + 1].isascii() and text[b + 1].isalpha():
+                        b += 1
+                    pairs = encoding_pairs()
+                    true = next((t for k in np.flatnonzero(self.letters[c]) if (t := pairs[k][c]).islower() and t < "\u0250"), None)
+                    if true and (b - i >= 3 if not (small or symbol) else b - a >= 3 - symbol):
+                        out.append((i, true))
+        return out
 
     def repair(self, text: str | None) -> tuple[str | None, int, bool]:
         """(restored text, number of garbled spans, whether all could be restored)."""
         if not text or text.isascii():
             return text, 0, True
-        # first, as some of its letters would pass for garbled UTF-8
-        text, n = _judge().repair(text, self._explained)
-        for _ in range(6):  # text garbled several times is restored layer by layer
-            spans = self._utf8(text)
-            if not spans:
-                break
+        spans, letters = self.match(text)
+        # letters first, as some of them would pass for garbled UTF-8
+        text, n = _judge().repair(text, letters, self._utf8)
+        again = bool(spans)
+        if n:
+            spans, letters = self.match(text)
+        while spans:  # text garbled several times is restored layer by layer; each makes it shorter or has fewer controls
             n += len(spans)
-            parts, at = [], 0
-            for a, b, original in spans:
-                parts += [text[at:a], original]
-                at = b
-            text = "".join([*parts, text[at:]])
-        text, more = _judge().repair(text, self._explained)
-        n += more
-        if self.swaps:
-            hits = self._swapped(text)
-            if hits:
-                chars = list(text)
-                for i, c in hits:
-                    chars[i] = c[1]
-                # where most of a language is garbled, its right letters are the rare ones: those stay
-                if _judge().score(new := "".join(chars)) >= _judge().score(text):
-                    n += len(hits)
-                    text = new
+            text = _replaced(text, spans)
+            spans, letters = self.match(text)
+        if again:
+            text, more = _judge().repair(text, letters, self._utf8)
+            n += more
+            letters = self.match(text)[1] if more else letters
+        if hits := self._misplaced(text, letters):
+            chars = list(text)
+            for i, c in hits:
+                chars[i] = c
+            text, n = "".join(chars), n + len(hits)
         lost = text.count("�")
         return text, n + lost, not lost and not re.search(r"[\x80-\x84\x86-\x9f]", text)
 
 
-def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text", swaps: dict[str, str] | None = None) -> DataFrame:
+def repair_encoding(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The garbled documents: ``key``, garbled_spans, restorable, restored (the text with the matched spans replaced).
 
-    ``swaps``: from swap_patterns(); fitted on ``documents`` itself when left out. Characters that were lost (U+FFFD) count as
-    garbled and stay as they are, with restorable false. Null, empty and plain ASCII texts give no row; equal rows give equal rows.
+    Each document is judged by itself, in one pass without a shuffle. Characters that were lost (U+FFFD) count as garbled
+    and stay as they are, with restorable false. Null, empty and plain ASCII texts give no row; equal rows give equal rows.
     """
-    swaps = swap_patterns(documents, text) if swaps is None else swaps
     kind = documents.schema[key].dataType.simpleString()
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(swaps)
+        repairer = Repairer()
         for part in rows:
             done = [(k, *repairer.repair(t)) for k, t in zip(part["k"], part["t"])]
             yield pd.DataFrame([(k, n, ok, t) for k, t, n, ok in done if n], columns=["k", "n", "ok", "t"])
 
     dirty = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.octet_length("t") > F.length("t"))
     return dirty.mapInPandas(run, f"k {kind}, n int, ok boolean, t string").select(F.col("k").alias(key), F.col("n").alias("garbled_spans"), F.col("ok").alias("restorable"), F.col("t").alias("restored"))
-
