@@ -188,7 +188,7 @@ class Judge:
         that suit a sentence nearly as well, the one that suits the whole document best is taken. A sentence that ``utf8``
         makes as likely as any pair, or of which it explains half, is left to that.
         """
-        sentences, found, at, k = [], [], 0, 0
+        sentences, found, later, at, k = [], [], [], 0, 0
         for x in SENTENCE.findall(text):
             if x:
                 at += len(x)
@@ -196,9 +196,12 @@ class Judge:
                 while k < len(hits) and hits[k] < at:
                     k += 1
                 sentences.append(x)
-                found.append(self._judged(x, utf8) if k > some else None)
+                # with fewer than three hits a sentence doesn't decide by itself; it is judged if another one does
+                found.append(self._judged(x, utf8) if k - some >= 3 else None)
+                later.append(0 < k - some < 3)
         if not any(f and f[1].any() for f in found):
             return text, 0
+        found = [self._judged(x, utf8) if late else f for x, f, late in zip(sentences, found, later)]
         total = sum(f[0] for f in found if f) + self.common
         own: list[int | None] = []
         for x, f in zip(sentences, found):
