@@ -3,6 +3,7 @@
 Every Arrow batch of documents is a shard. Its words are numbered by the test items' vocabulary (other words break a
 match), a suffix array of the shard is built with numpy, and every suffix of every test item is binary-searched in it.
 All verbatim matches found that way are extended to their full length and chained, which allows for changed words.
+Documents with a leak can then be removed.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.unify_text import INVISIBLE, LIGATURES, LOOKALIKES
+from auditloom.operators.skew import skew_join
 
 _ALIKE = str.maketrans(LOOKALIKES | LIGATURES)
+_ANY_ALIKE = re.compile("[" + "".join(LOOKALIKES | LIGATURES) + "]")
+_MARKS = regex.compile(r"\p{M}+")
 _HIDDEN = re.compile(re.sub(r"\\x\{(\w+)\}", r"\\u\1", INVISIBLE))
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -29,19 +34,21 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _HIDDEN.sub("", text).translate(_ALIKE))
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-    return _WORD.findall(_BROKEN.sub("", text).casefold())
+        text = _HIDDEN.sub("", text)
+        text = text.translate(_ALIKE) if _ANY_ALIKE.search(text) else text
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return _WORD.findall((_BROKEN.sub("", text) if "-" in text and "\n" in text else text).casefold())
 
 
-def strip_task_lines(texts: list[str]) -> list[str]:
-    """Each text without its first line where several texts begin with that same line and go on after it."""
-    first: dict[str, int] = {}
-    for t in texts:
-        if "\n" in t:
-            line = t.split("\n", 1)[0]
-            first[line] = first.get(line, 0) + 1
-    return [t.split("\n", 1)[1] if "\n" in t and first[t.split("\n", 1)[0]] > 1 else t for t in texts]
+def item_bodies(items: DataFrame) -> DataFrame:
+    """item_id and body: the text without its first line where several items begin with that same line and go on after it.
+
+    Counted over all items, so that it doesn't matter how they are dealt to blocks later.
+    """
+    asked = items.select("item_id", "text").filter(F.length("text") > 0).distinct()
+    cut = asked.withColumn("_at", F.locate("\n", F.col("text"))).withColumn("_line", F.when(F.col("_at") > 0, F.substring(F.col("text"), F.lit(1), F.col("_at") - 1)))
+    shared = cut.filter(F.col("_line").isNotNull()).groupBy("_line").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_line", F.lit(True).alias("_shared"))
+    return skew_join(cut, shared, ["_line"], "left").select("item_id", F.when(F.col("_shared"), F.substring(F.col("text"), F.col("_at") + 1, F.length("text"))).otherwise(F.col("text")).alias("body"))
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -146,104 +153,124 @@ def best_chain(q: np.ndarray, p: np.ndarray, n: np.ndarray, gap: int = 8) -> tup
     return top
 
 
-class LeakFinder:
-    """Finds the items of one block in shards of documents."""
+class Items:
+    """One block of items in numbers: ids, words of each, their word numbers one after the other with breaks between."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, least: int):
-        bodies = strip_task_lines([t for _, t in items])
-        lists = [words(t) for t in bodies]
+    def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int]):
+        """Words that ``vocabulary`` lacks are added to it."""
         self.ids = [i for i, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        for w in sorted({w for ws in lists for w in ws}):
-            self.vocabulary[w] = len(self.vocabulary)
-        self.sizes = np.array([len(ws) for ws in lists])
+        self.sizes = np.array([len(ws) for _, ws in items], np.int64)
         offsets = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         self.tokens = np.full(int(offsets[-1]), -3, np.int32)
-        for at, ws in zip(offsets, lists):
-            self.tokens[at : at + len(ws)] = [self.vocabulary[w] for w in ws]
+        for at, (_, ws) in zip(offsets, items):
+            self.tokens[at : at + len(ws)] = [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
         self.offsets = offsets[:-1]
         self.starts = np.flatnonzero(self.tokens >= 0)
-        self.share, self.least = share, least
-        self.depth = max(int(self.sizes.max(initial=1)), 2 * least)
 
-    def shard(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-        """(row, item, span, matched, item word, text word, item's words) of each leak."""
-        get = self.vocabulary.get
+
+class Shard:
+    """The suffix array of some texts, built once and then searched for any number of blocks of items."""
+
+    def __init__(self, texts: list[str | None], vocabulary: dict[str, int], depth: int):
+        get = vocabulary.get
         numbered = [[get(w, -1) for w in words(t)] for t in texts]
-        sizes = np.array([len(x) for x in numbered], np.int64)
-        ends = np.cumsum(sizes + 1)
-        tokens = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int32)
-        for end, x in zip(ends, numbered):
-            tokens[end - 1 - len(x) : end - 1] = x
-        if not (tokens >= 0).any() or not len(self.starts):
+        self.sizes = np.array([len(x) for x in numbered], np.int64)
+        self.ends = np.cumsum(self.sizes + 1)
+        self.tokens = np.full(int(self.ends[-1]) if len(self.ends) else 0, -1, np.int32)
+        for end, x in zip(self.ends, numbered):
+            self.tokens[end - 1 - len(x) : end - 1] = x
+        self.array = suffix_array(self.tokens, depth) if (self.tokens >= 0).any() else np.zeros(0, np.int64)
+
+    def leaks(self, items: Items, share: float, least: int) -> Iterator[tuple[int, ...]]:
+        """(row, item, item's words, span, matched, longest verbatim match, item word, text word) of each leak."""
+        tokens, sa = self.tokens, self.array
+        if not len(sa) or not len(items.starts):
             return
-        sa = suffix_array(tokens, self.depth)
-        lo, hi = search(tokens, sa, self.tokens, self.starts, self.least)
+        lo, hi = search(tokens, sa, items.tokens, items.starts, least)
         some = np.flatnonzero(hi > lo)
         many = (hi - lo)[some]
-        q = np.repeat(self.starts[some], many)
+        q = np.repeat(items.starts[some], many)
         p = sa[np.repeat(lo[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         # only matches that can't be extended to the left; then their full length
         left = (q > 0) & (p > 0)
-        left[left] = self.tokens[q[left] - 1] == tokens[p[left] - 1]
+        left[left] = items.tokens[q[left] - 1] == tokens[p[left] - 1]
         q, p = q[~left], p[~left]
-        n = np.full(len(q), self.least)
-        asked, text = np.append(self.tokens, -3), np.append(tokens, -1)
+        n = np.full(len(q), least)
+        asked, text = np.append(items.tokens, -3), np.append(tokens, -1)
         live = np.arange(len(q))
         while len(live):
             same = asked[np.minimum(q[live] + n[live], len(asked) - 1)] == text[np.minimum(p[live] + n[live], len(text) - 1)]
             live = live[same]
             n[live] += 1
-        row = np.searchsorted(ends, p, side="right")
-        item = np.searchsorted(self.offsets, q, side="right") - 1
-        pair = row * len(self.ids) + item
+        row = np.searchsorted(self.ends, p, side="right")
+        item = np.searchsorted(items.offsets, q, side="right") - 1
+        pair = row * len(items.ids) + item
         by = np.argsort(pair, kind="stable")
         pair, q, p, n = pair[by], q[by], p[by], n[by]
         cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         sums = np.add.reduceat(n, cuts) if len(cuts) else np.zeros(0, np.int64)
         stops = np.append(cuts[1:], len(pair))
-        needed = self.share * self.sizes[pair[cuts] % len(self.ids)] if len(cuts) else sums
+        needed = share * items.sizes[pair[cuts] % len(items.ids)] if len(cuts) else sums
         for k in np.flatnonzero(sums >= 0.7 * needed):
             a, b = cuts[k], stops[k]
-            r, i = divmod(int(pair[a]), len(self.ids))
-            start = int(ends[r] - 1 - sizes[r])
-            span, matched, qa, pa_, _ = best_chain(q[a:b] - self.offsets[i], p[a:b] - start, n[a:b])
+            r, i = divmod(int(pair[a]), len(items.ids))
+            start = int(self.ends[r] - 1 - self.sizes[r])
+            span, matched, qa, pa_, _ = best_chain(q[a:b] - items.offsets[i], p[a:b] - start, n[a:b])
             if span >= needed[k]:
-                yield r, self.ids[i], span, matched, qa, pa_, int(self.sizes[i])
+                yield r, items.ids[i], int(items.sizes[i]), span, matched, int(n[a:b].max()), qa, pa_
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([rows.column("item_id"), pa.array([words(t) for t in rows.column("body").to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
+
+
+FOUND = ("item_words", "span_words", "matched_words", "verbatim_words", "item_word", "doc_word")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", share: float = 1 / 3, least: int = 4, block: int = 20000) -> DataFrame:
     """Documents that hold at least ``share`` of an item's words in order and together, with the items.
 
-    Columns: ``key``, item_id, item_words, span_words, matched_words, item_word and doc_word (places of the first match).
-    A line with which several items begin doesn't count. A match starts from ``least`` equal words; up to three in ten words
-    of the passage may be changed. ``items`` (item_id, text) is the stated query set: it goes to the executors in blocks of
-    ``block`` items, every block against all documents, without a shuffle. Null and empty texts match nothing; equal
-    documents and repeated items each give their rows; an item without words is left out.
+    Columns: ``key``, item_id, item_words, span_words, matched_words, verbatim_words (the longest verbatim match), item_word
+    and doc_word (places of the first match). A line with which several items begin doesn't count. A match starts from
+    ``least`` equal words; up to three in ten words of the passage may be changed. Null and empty texts match nothing;
+    equal documents and repeated items each give their rows; an item without words is left out.
+
+    ``items`` (item_id, text) is the stated query set. Executors turn it into words; it passes the driver in blocks of
+    ``block`` items, of which one is there at a time, beside one number for each different word of the items, and waits as
+    broadcasts on the executors' disks. The documents are read once, without a shuffle: each shard's suffix array is built
+    once and all blocks go past it. The result doesn't depend on ``block``.
     """
-    asked = [(r.item_id, r.text) for r in items.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator() if r.text and words(r.text)]
+    spark = documents.sparkSession
+    vocabulary: dict[str, int] = {}
+    blocks, part, depth = [], [], 2 * least
+    for r in item_bodies(items).mapInArrow(_item_words, "item_id long, words array<string>").filter(F.size("words") > 0).toLocalIterator():
+        part.append((r.item_id, r.words))
+        depth = max(depth, len(r.words))
+        if len(part) == block:
+            blocks.append(spark.sparkContext.broadcast(Items(part, vocabulary)))
+            part = []
+    if part:
+        blocks.append(spark.sparkContext.broadcast(Items(part, vocabulary)))
+    known = spark.sparkContext.broadcast(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, item_id long, item_words int, span_words int, matched_words int, item_word int, doc_word int"
-    source = documents.select(F.col(key), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    found = documents.sparkSession.createDataFrame([], schema)
-    for at in range(0, len(asked), block):
-        part = asked[at : at + block]
-
-        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            finder = LeakFinder(part, share, least)
-            for rows in batches:
-                step = max(1, int(rows.num_rows * 8_000_000 / max(rows.nbytes, 1)))
-                for a in range(0, rows.num_rows, step):
-                    shard = rows.slice(a, step)
-                    hits = list(finder.shard(shard.column("_text").to_pylist()))
+    schema = f"{key} {kind}, item_id long, " + ", ".join(f"{c} int" for c in FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            step = max(1, int(rows.num_rows * 8_000_000 / max(rows.nbytes, 1)))
+            for a in range(0, rows.num_rows, step):
+                rows_now = rows.slice(a, step)
+                shard = Shard(rows_now.column("_text").to_pylist(), known.value, depth)
+                for b in blocks:
+                    hits = list(shard.leaks(b.value, share, least))
+                    if len(blocks) > 1:
+                        vars(b).pop("_value", None)  # read again from the executor's disk for the next shard
                     if hits:
-                        r, item, span, matched, qa, pa_, size = zip(*hits)
-                        ints = [pa.array(x, pa.int32()) for x in (size, span, matched, qa, pa_)]
-                        yield pa.RecordBatch.from_arrays([shard.column(key).take(pa.array(r)), pa.array(item, pa.int64()), *ints], names=[key, "item_id", "item_words", "span_words", "matched_words", "item_word", "doc_word"])
+                        r, item, *rest = zip(*hits)
+                        yield pa.RecordBatch.from_arrays([rows_now.column(key).take(pa.array(r)), pa.array(item, pa.int64()), *(pa.array(x, pa.int32()) for x in rest)], names=[key, "item_id", *FOUND])
 
-        one = source.mapInArrow(run, schema)
-        found = one if at == 0 else found.unionByName(one)
-    return found
+    return documents.select(F.col(key), F.col(text).alias("_text")).filter(F.length("_text") > 0).mapInArrow(run, schema)
 
 
 def remove_leaking(documents: DataFrame, leaks: DataFrame, key: str = "doc_id") -> DataFrame:

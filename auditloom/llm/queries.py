@@ -68,6 +68,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without leaks."""
+    documents = _read(spark, d, "documents")
+    return contamination.remove_leaking(documents, contamination.find_leaks(documents, _read(spark, d, "eval_items")))
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair_encoding(_read(spark, d, "documents"))
 
@@ -77,7 +83,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_items, p1_raters, p1_found, p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p9_restored, p9_found)}
+    return {f.__name__: f for f in (p1_items, p1_raters, p1_found, p2_pieces, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p7_containers, p8_leaks, p8_found, p8_kept, p9_restored, p9_found)}
 
 
 def _p6_sql() -> str:

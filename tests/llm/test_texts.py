@@ -138,12 +138,21 @@ def test_leaks(spark):
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     got = {(r.doc_id, r.item_id) for r in contamination.find_leaks(df, items).collect()}
     assert got == {(1, 1), (2, 1), (4, 1), (8, 1), (10, 1), (10, 2)}
-    assert {(r.doc_id, r.item_id) for r in contamination.find_leaks(df, items, block=1).collect()} == got
+    assert [sorted(contamination.find_leaks(df, items, block=n).collect()) for n in (1, 2)] == [sorted(contamination.find_leaks(df, items).collect())] * 2
     assert contamination.find_leaks(df.limit(0), items).count() == 0 and contamination.find_leaks(df, items.limit(0)).count() == 0
     kept = contamination.remove_leaking(df, contamination.find_leaks(df, items))
     assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 7, 9}
 
 
+def test_task_lines_are_counted_over_all_items(spark):
+    task = "Read the following passage with care and then say which of the statements after it is true for you."
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    items = spark.createDataFrame([(1, f"{task}\n{a}"), (2, f"{task}\n{b}"), (3, "A line of its own\n" + " ".join(f"c{i}" for i in range(20)))], "item_id long, text string")
+    df = spark.createDataFrame([(8, task + " more text"), (9, "before " + " ".join(a.split()[:14]) + " after"), (10, "a line of its own c0 c1 c2 c3")], "doc_id long, text string")
+    for block in (1, 2, 20000):
+        assert {(r.doc_id, r.item_id, r.verbatim_words) for r in contamination.find_leaks(df, items, block=block).collect()} == {(9, 1, 14), (10, 3, 9)}
+
+
 def test_chance_matches_do_not_hide_a_passage(spark):
     item = [f"w{i}" for i in range(61)]
     fill = lambda k, n: [f"x{k}y{i}" for i in range(n)]
