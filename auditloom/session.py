@@ -46,3 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Like cut(), placed and sorted by ``keys``, so that later aggregations, windows and joins on them need no shuffle.
+
+    Only a plan that isn't adaptive tells how its rows are placed, hence the switch while it is written.
+    """
+    spark = df.sparkSession
+    parts, before = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
