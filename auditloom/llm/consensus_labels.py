@@ -7,14 +7,15 @@ is the mixture of the types' matrices, weighted as so many labels, plus what the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.session import cut
+from auditloom.operators.skew import skew_join
+from auditloom.session import cut, cut_placed
 
 # The labels of the two tasks, worst to best and back to none, and how they may be written.
 STATUS = ("missing", "partial", "adequate", "not_applicable")
@@ -22,8 +23,12 @@ RELEVANCE = ("no", "partial", "yes")
 ALIASES = {"n/a": "not_applicable", "na": "not_applicable", "notapplicable": "not_applicable", "none": "missing", "y": "yes", "n": "no"}
 TASKS = {"relevance": RELEVANCE, "status": STATUS}
 CELLS = [(task, t, l) for task, labels in TASKS.items() for t in range(len(labels)) for l in range(len(labels))]  # noqa: E741
-#: Broadcast of the raters' table is allowed up to so many raters (about 200 bytes for each label); beyond, the join shuffles.
-BROADCAST_RATERS = 20_000
+ITEM = ["work_id", "step_id", "task"]
+#: Up to so many raters (200 bytes each) their counts come to the driver and their matrices are broadcast; beyond, both stay
+#: distributed and the join with the votes is salted. The same holds of kinds of item and their priors.
+BROADCAST_RATERS, BROADCAST_KINDS = 20_000, 20_000
+#: An item with more votes than this, and than 1/2000 of all, is spread over tasks; at most 2,000 items can be.
+HOT_ITEM = 20_000
 
 
 def plain_label(label: Column) -> Column:
@@ -107,64 +112,123 @@ def _counts(part: pd.DataFrame) -> dict[str, np.ndarray]:
     return {task: np.stack([part[_columns(task, t, l)].to_numpy(float) for t in range(len(ls)) for l in range(len(ls))], 1).reshape(-1, len(ls), len(ls)) if len(part) else np.zeros((0, len(ls), len(ls))) for task, ls in TASKS.items()}
 
 
-def _type_sums(counts: DataFrame, model: Communities) -> dict[str, np.ndarray]:
-    """Expected number of raters of each type and the sums of their counts: a few hundred numbers, whatever the number of raters."""
+def _type_sums(n: dict[str, np.ndarray], model: Communities) -> np.ndarray:
+    """Expected number of raters of each type and the sums of their counts, in one row of numbers."""
+    r = model.types(n)
+    return np.concatenate([r.sum(0), *(np.einsum("rc,rtl->ctl", r, n[task]).ravel() for task in TASKS)])
 
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            if len(part):
-                n = _counts(part)
-                r = model.types(n)
-                flat = np.concatenate([r.sum(0), *(np.einsum("rc,rtl->ctl", r, n[task]).ravel() for task in TASKS)])
-                yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
-
-    sums = counts.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
-    c = len(model.weights)
-    out, at = {"weights": sums[:c]}, c
+
+def _settle(sums: np.ndarray, model: Communities) -> None:
+    """The types' parameters from the sums of their raters."""
+    at = len(model.weights)
+    model.weights, prior, shape = 1.0 + sums[:at], model.prior(), {}
     for task, s in model.shape.items():
-        out[task] = sums[at : at + s.size].reshape(s.shape)
+        shape[task] = prior[task] + sums[at : at + s.size].reshape(s.shape)
         at += s.size
-    return out
+    model.shape = shape
 
 
-def _rater_logs(counts: DataFrame, model: Communities, strength: float) -> DataFrame:
+def _logs(part: pd.DataFrame, model: Communities, strength: float) -> pd.DataFrame:
     """Per rater, task and given label the expected log probability under each true label: l0 .. l3."""
-    means = model.means()
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            n = _counts(part)
-            r = model.types(n)
-            for task, labels in TASKS.items():
-                own = strength * np.einsum("rc,ctl->rtl", r, means[task]) + n[task]
-                logs = _digamma(own) - _digamma(own.sum(2, keepdims=True))
-                for given in range(len(labels)):
-                    cols = {f"l{t}": logs[:, t, given] if t < len(labels) else np.full(len(part), -1e6) for t in range(4)}
-                    yield pd.DataFrame({"rater_id": part["rater_id"], "task": task, "code": given, **cols})
-
-    return counts.mapInPandas(run, "rater_id string, task string, code int, l0 double, l1 double, l2 double, l3 double")
-
-
-def _posterior(votes: DataFrame, logs: DataFrame, priors: DataFrame, small: bool) -> DataFrame:
-    """Per item the probability of each label: work_id, step_id, task, q0 .. q3."""
-    table = F.broadcast(logs) if small else logs
-    sums = votes.join(table, ["rater_id", "task", "code"]).groupBy("work_id", "step_id", "task").agg(*[F.sum(f"l{t}").alias(f"s{t}") for t in range(4)])
-    sums = sums.join(priors, ["step_id", "task"])
+    n, means, out = _counts(part), model.means(), []
+    r = model.types(n)
+    for task, labels in TASKS.items():
+        own = strength * np.einsum("rc,ctl->rtl", r, means[task]) + n[task]
+        logs = _digamma(own) - _digamma(own.sum(2, keepdims=True))
+        for given in range(len(labels)):
+            cols = {f"l{t}": logs[:, t, given] if t < len(labels) else np.full(len(part), -1e6) for t in range(4)}
+            out.append(pd.DataFrame({"rater_id": part["rater_id"], "task": task, "code": np.int32(given), **cols}))
+    return pd.concat(out, ignore_index=True)
+
+
+LOGS = "rater_id string, task string, code int, l0 double, l1 double, l2 double, l3 double"
+
+
+class Raters:
+    """The raters' expected confusion counts: on the driver up to BROADCAST_RATERS raters, distributed beyond."""
+
+    def __init__(self, rows: DataFrame):
+        self.spark, counts = rows.sparkSession, cut(self._added(rows))
+        self.small = counts.count() <= BROADCAST_RATERS * (len(STATUS) + len(RELEVANCE))
+        self.update(rows, counts)
+
+    def update(self, rows: DataFrame, counts: DataFrame | None = None) -> None:
+        """From votes with q0 .. q3; they are added up within tasks before the shuffle."""
+        counts = self._added(rows) if counts is None else counts
+        if self.small:
+            long = counts.toPandas()
+            long = long.melt(["rater_id", "task", "code"], [f"q{t}" for t in range(4)], "t", "q")
+            wide = long.assign(cell=long["task"] + "_" + long["t"].str[1:] + "_" + long["code"].astype(str)).pivot_table(index="rater_id", columns="cell", values="q", aggfunc="sum", fill_value=0.0)
+            self.local = wide.reindex(columns=[_columns(*c) for c in CELLS], fill_value=0.0).reset_index().rename_axis(columns=None).astype({"rater_id": object})
+        else:
+            cell = lambda task, t, l: F.sum(F.when((F.col("task") == task) & (F.col("code") == l), F.col(f"q{t}")).otherwise(0.0)).alias(_columns(task, t, l))  # noqa: E731, E741
+            self.frame = cut(counts.groupBy("rater_id").agg(*[cell(*c) for c in CELLS]))
+
+    def _added(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("rater_id", "task", "code").agg(*[F.sum(f"q{t}").alias(f"q{t}") for t in range(4)])
+
+    def type_sums(self, model: Communities) -> np.ndarray:
+        if self.small:
+            return _type_sums(_counts(self.local), model)
+
+        def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in rows:
+                if len(part):
+                    flat = _type_sums(_counts(part), model)
+                    yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
+
+        return self.frame.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+
+    def weigh(self, votes: DataFrame, model: Communities, strength: float) -> DataFrame:
+        """The votes with l0 .. l3 of their rater."""
+        if self.small:
+            return votes.join(F.broadcast(self.spark.createDataFrame(_logs(self.local, model, strength), LOGS)), ["rater_id", "task", "code"])
+        logs = self.frame.mapInPandas(lambda rows: (_logs(part, model, strength) for part in rows), LOGS)
+        return skew_join(votes, logs, ["rater_id", "task", "code"])
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.local, "rater_id string, " + ", ".join(f"{_columns(*c)} double" for c in CELLS)) if self.small else self.frame
+
+
+class Votes:
+    """All votes, placed and sorted by item once, so that no later step shuffles them; votes of hot items apart, spread by rater."""
+
+    def __init__(self, votes: DataFrame):
+        parts = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.cold, self.hot = cut_placed(votes, *ITEM), None
+        sizes = self.cold.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n"), F.sum("n")).first()
+        if most[0] and most[0] > (least := max(HOT_ITEM, most[1] / 2000)):
+            hot = F.broadcast(cut(sizes.filter(F.col("n") > least).select(*ITEM)))
+            self.hot = cut(self.cold.join(hot, ITEM, "left_semi").repartition(parts, *ITEM, "rater_id"))
+            self.cold = cut_placed(self.cold.join(hot, ITEM, "left_anti"), *ITEM)
+
+    def each(self, weigh: Callable[[DataFrame], DataFrame], sums: dict[str, Column]) -> DataFrame:
+        """The votes after ``weigh``, with ``sums`` over all votes of their item."""
+        w = Window.partitionBy(*ITEM)
+        out = weigh(self.cold).withColumns({k: F.sum(x).over(w) for k, x in sums.items()})
+        if self.hot is not None:
+            rows = weigh(self.hot)
+            of_item = rows.groupBy(*ITEM).agg(*[F.sum(x).alias(k) for k, x in sums.items()])
+            out = out.unionByName(rows.join(F.broadcast(of_item), ITEM).select(*out.columns))
+        return out
+
+    def items(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """One row per item of what each() gave; ``columns`` are the same in all votes of an item."""
+        return rows.groupBy(*ITEM).agg(*[F.first(c).alias(c) for c in columns])
+
+
+def _posterior(sums: DataFrame) -> DataFrame:
+    """Adds q0 .. q3, the probability of each label, from the sums s0 .. s3 and the priors p0 .. p3."""
     scores = [F.col(f"s{t}") + F.col(f"p{t}") for t in range(4)]
     sums = sums.withColumn("_m", F.greatest(*scores))
     weights = [F.exp(s - F.col("_m")) for s in scores]
-    return sums.select("work_id", "step_id", "task", *[(w / sum(weights[1:], weights[0])).alias(f"q{t}") for t, w in enumerate(weights)])
+    return sums.withColumns({f"_w{t}": w for t, w in enumerate(weights)}).withColumns({f"q{t}": F.col(f"_w{t}") / (F.col("_w0") + F.col("_w1") + F.col("_w2") + F.col("_w3")) for t in range(4)})
 
 
-def _rater_counts(votes: DataFrame, posterior: DataFrame) -> DataFrame:
-    """Expected confusion counts, a row per rater."""
-    joined = votes.join(posterior, ["work_id", "step_id", "task"])
-    return joined.groupBy("rater_id").agg(*[F.sum(F.when((F.col("task") == task) & (F.col("code") == l), F.col(f"q{t}")).otherwise(0.0)).alias(_columns(task, t, l)) for task, t, l in CELLS])  # noqa: E741
-
-
-def _step_priors(posterior: DataFrame) -> DataFrame:
+def _step_priors(rows: DataFrame) -> DataFrame:
     """Logs of the smoothed label shares of each kind of item, however many there are: step_id, task, p0 .. p3."""
-    shares = posterior.groupBy("step_id", "task").agg(*[F.sum(f"q{t}").alias(f"q{t}") for t in range(4)])
+    shares = rows.groupBy("step_id", "task").agg(*[F.sum(F.col(f"q{t}") / F.col("n")).alias(f"q{t}") for t in range(4)])
     used = [F.col("task").isin([task for task, labels in TASKS.items() if t < len(labels)]) for t in range(4)]
     smooth = [F.when(u, F.col(f"q{t}") + 1.0).otherwise(0.0) for t, u in enumerate(used)]
     return shares.select("step_id", "task", *[F.when(u, F.log(x / sum(smooth[1:], smooth[0]))).otherwise(float(np.log(1e-300))).alias(f"p{t}") for t, (u, x) in enumerate(zip(used, smooth))])
@@ -184,45 +248,44 @@ def fit_consensus(ratings: DataFrame, rounds: int = 15, tolerance: float = 2e-3,
     of votes; null for a single vote), support (share of the votes for the label). raters: rater_id, n_votes, reliability
     (probability of the right label, averaged over the tasks' labels as they occur) and type (the likeliest).
     ``strength``: of a rater's types, in labels. Ties of the probability go to the label first in the vocabulary. An empty
-    table gives empty results. Votes are never collected; per round one small table of raters is written to the checkpoint folder.
+    table gives empty results. Votes are never collected; they are shuffled once, by item, and in each round only the raters'
+    sums are.
     """
-    votes = cut(current_votes(ratings))
-    model = Communities()
-    tally = votes.groupBy("work_id", "step_id", "task").agg(*[F.sum(F.when(F.col("code") == t, 1.0).otherwise(0.0)).alias(f"n{t}") for t in range(4)])
-    total = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
-    share = tally.select("work_id", "step_id", "task", *[(F.col(f"n{t}") / total).alias(f"q{t}") for t in range(4)])
-    counts = cut(_rater_counts(votes, share))
-    small = counts.count() <= BROADCAST_RATERS
+    votes, model = Votes(current_votes(ratings)), Communities()
+    tally = {f"n{t}": F.when(F.col("code") == t, 1.0).otherwise(0.0) for t in range(4)} | {"n": F.lit(1.0)}
+    share = votes.each(lambda v: v, tally).withColumns({f"q{t}": F.col(f"n{t}") / F.col("n") for t in range(4)})
+    raters = Raters(share)
     priors = cut(_step_priors(share))
-    done = 0
+    few = priors.count() <= BROADCAST_KINDS
+
+    def weigh(rows: DataFrame) -> DataFrame:
+        rows = raters.weigh(rows, model, strength)
+        return rows.join(F.broadcast(priors), ["step_id", "task"]) if few else skew_join(rows, priors, ["step_id", "task"])
+
+    sums = {f"s{t}": F.col(f"l{t}") for t in range(4)}
+    done, rows = 0, share
     if not priors.isEmpty():
         for done in range(1, rounds + 1):
             before = model.means()
-            for _ in range(3):  # types and matrices settle on the same counts first; that needs no pass over the votes
-                sums = _type_sums(counts, model)
-                model.weights = 1.0 + sums["weights"]
-                prior = model.prior()
-                model.shape = {task: prior[task] + sums[task] for task in TASKS}
-                if done > 1:
-                    break
-            posterior = _posterior(votes, _rater_logs(counts, model, strength), priors, small)
-            if done > 1 and max(np.abs(model.means()[task] - before[task]).max() for task in TASKS) < tolerance:
+            for _ in range(3 if done == 1 else 1):  # types and matrices settle on the same counts first
+                _settle(raters.type_sums(model), model)
+            last = done == rounds or (done > 1 and max(np.abs(model.means()[task] - before[task]).max() for task in TASKS) < tolerance)
+            rows = _posterior(votes.each(weigh, sums | tally if last else sums))
+            if last:
                 break
-            if done < rounds:
-                counts = cut(_rater_counts(votes, posterior))
-    else:
-        posterior = share
+            raters.update(rows)
     order = [F.when(F.col("task") == "relevance", F.lit(r)).otherwise(F.lit(s)) for r, s in zip((*RELEVANCE, None), STATUS)]
     best = F.greatest(*[F.col(f"q{t}") for t in range(4)])
     place = F.coalesce(*[F.when(F.col(f"q{t}") == F.col("probability"), F.lit(t)) for t in range(4)])
-    items = posterior.join(tally, ["work_id", "step_id", "task"]).withColumn("probability", best).withColumn("place", place)
+    total = F.col("n")
+    items = votes.items(rows, "n", *[f"{c}{t}" for c in "nq" for t in range(4)]).withColumn("probability", best).withColumn("place", place)
     pairs = sum([F.col(f"n{t}") * (F.col(f"n{t}") - 1) for t in range(1, 4)], F.col("n0") * (F.col("n0") - 1))
     items = items.select(
         "work_id", "step_id", F.element_at(F.array(*order), F.col("place") + 1).alias("label"), "probability", total.cast("long").alias("n_votes"),
         sum([(F.col(f"n{t}") > 0).cast("int") for t in range(1, 4)], (F.col("n0") > 0).cast("int")).alias("n_labels"),
         (pairs / F.nullif(total * (total - 1), F.lit(0.0))).alias("agreement"), (F.element_at(F.array("n0", "n1", "n2", "n3"), F.col("place") + 1) / total).alias("support"),
     )
-    return Consensus(items, _reliability(counts, model, strength), done)
+    return Consensus(items, _reliability(raters.table(), model, strength), done)
 
 
 def _reliability(counts: DataFrame, model: Communities, strength: float) -> DataFrame:
