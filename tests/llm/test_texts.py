@@ -71,7 +71,7 @@ def test_packing_keeps_everything_and_its_rules():
     n = 3000
     size = rng.integers(1, 4000, n)
     source, cluster = rng.integers(0, 5, n), rng.integers(0, 2500, n)
-    bins = packing.best_fit(size, source, cluster, 4096, np.ones(n, int), 32)
+    bins = packing.best_fit(size, source, cluster, 4096)
     used = np.bincount(bins, weights=size)
     assert used.max() <= 4096
     assert len({(b, c) for b, c in zip(bins, cluster)}) == n  # no two of a cluster in one container
@@ -89,10 +89,22 @@ def test_documents_in_containers(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
-def test_more_copies_than_containers(spark):
-    docs = spark.createDataFrame([(i, "same text", "s") for i in range(900)], "doc_id long, text string, source string")
+def test_copies_never_share_a_container(spark):
+    docs = spark.createDataFrame([(i, "same text", "s", i % 7) for i in range(900)] + [(1000 + i, f"other {i}", "t", i) for i in range(900)], "doc_id long, text string, source string, near int")
     out = packing.pack_documents(docs).toPandas()
-    assert len(out) == 900 and out.container_id.nunique() <= 4
+    assert len(out) == 1800 and out.container_id.nunique() == 900
+    assert out[out.doc_id < 900].container_id.nunique() == 900
+    near = packing.pack_documents(docs.filter("doc_id < 900"), cluster="near").toPandas()
+    near["near"] = near.doc_id % 7
+    assert not near.duplicated(["container_id", "near"]).any() and near.container_id.nunique() == 129
+
+
+def test_strict_sources():
+    rng = np.random.default_rng(5)
+    source, size, cluster = rng.integers(0, 9, 600), rng.integers(1, 900, 600), np.arange(600)
+    bins = packing.best_fit(size, source, cluster, 4096, strict_source=True)
+    assert len(set(zip(bins, source))) == 600 and np.bincount(bins, weights=size).max() <= 4096
+    assert len(set(bins)) <= np.bincount(source).max() + 20
 
 
 # --- problem 8
