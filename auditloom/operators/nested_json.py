@@ -169,7 +169,7 @@ class Walker:
 
     def _decoded(self, nodes: pd.DataFrame) -> pd.DataFrame:
         """Nodes that are strings holding an object or array, replaced by what they hold."""
-        for _ in range(4):
+        while True:  # each turn takes off a layer of quotes, so it ends
             at = np.flatnonzero((nodes["kind"] == QUOTE).to_numpy())
             texts, rows = [], []
             for i in at:
@@ -252,7 +252,7 @@ def flatten_batch(ids: list, kinds: list[str | None], payloads: list[str | None]
 
     tops = walker.tops()
     tops = tops[tops["kind"] == OPEN_O].reset_index(drop=True)
-    for _ in range(3):  # unwrap: an object without steps or ratings of its own
+    while True:  # unwrap: an object without steps or ratings of its own; each turn goes one level down, so it ends
         has = set(walker.get(tops, "ratings")["parent"]) | set(walker.get(tops, "step_assessments")["parent"])
         swap = {}
         for w in WRAPPERS:
@@ -298,7 +298,7 @@ def flatten_reports(records: DataFrame, fields: bool = True, key: str = "record_
     """Every object of the payloads as a row that carries its parents' keys: record_id, tbl, rating_pos, step_pos, child_pos and the fields.
 
     tbl is record, rating, step, evidence or suggestion; a position that doesn't apply is -1, positions count null elements
-    too. Parts may be wrapped, string-encoded, or a lone object for an array of one; the consensus block is left out. Torn,
+    too. Parts may be wrapped or string-encoded, however deep, or a lone object for an array of one; the consensus block is left out. Torn,
     null and empty payloads give no row. Fields that are missing or null are null. Per row, without a shuffle; a repeated
     record gives its rows again. With ``fields`` off only the links are filled.
     """

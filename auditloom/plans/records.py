@@ -13,7 +13,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    flat = flatten_reports(_records(spark, d), fields=False).filter(F.col("tbl").isin("evidence", "suggestion"))
+    flat = flatten_reports(_records(spark, d)).filter(F.col("tbl").isin("evidence", "suggestion"))
     return flat.select("record_id", "rating_pos", "step_pos", F.col("tbl").alias("child"), "child_pos").distinct()
 
 
@@ -28,22 +28,33 @@ def queries() -> dict:
     return {"p5_found": p5_found} | {f"p5_{tbl}s": _table(tbl) for tbl in FIELDS}
 
 
-def _sql() -> str:
-    """The same cases with DuckDB's JSON functions."""
-    listed = lambda x: f"CASE json_type({x}) WHEN 'ARRAY' THEN from_json({x}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{x}] END"
-    text = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END ELSE {x} END"
+_LISTED = lambda x: f"CASE json_type({x}) WHEN 'ARRAY' THEN from_json({x}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{x}] END"
+_TEXT = lambda x: f"CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END ELSE {x} END"
+
+
+def _nodes() -> str:
+    """Every object with its links, as DuckDB's JSON functions see it."""
     return f"""
-    WITH ok AS (SELECT DISTINCT record_id, record_kind, payload::JSON AS j FROM report_records WHERE json_valid(payload)),
-    plain AS (SELECT record_id, record_kind, CASE WHEN json_type(j, '$.result') IS NOT NULL THEN {text("(j -> '$.result')")} ELSE j END AS j FROM ok),
-    lists AS (SELECT record_id, -1 AS rating_pos, {text("(j -> '$.step_assessments')")} AS steps FROM plain
-        UNION ALL SELECT record_id, r.i::INT - 1, {text("(r.x -> '$.steps')")} FROM (SELECT record_id, {text("(j -> '$.ratings')")} AS rs FROM plain) p,
-            LATERAL (SELECT unnest({listed("rs")}) AS x, generate_subscripts({listed("rs")}, 1) AS i) r),
-    steps AS (SELECT record_id, rating_pos, unnest({listed("steps")}) AS s, generate_subscripts({listed("steps")}, 1)::INT - 1 AS step_pos FROM lists),
-    kids AS (SELECT record_id, rating_pos, step_pos, 'evidence' AS child, {text("(s -> '$.evidence')")} AS c FROM steps
-        UNION ALL SELECT record_id, rating_pos, step_pos, 'suggestion', {text("(s -> '$.suggestions')")} FROM steps),
-    each AS (SELECT record_id, rating_pos, step_pos, child, unnest({listed("c")}) AS x, generate_subscripts({listed("c")}, 1)::INT - 1 AS child_pos FROM kids)
-    SELECT DISTINCT record_id, rating_pos, step_pos, child, child_pos FROM each WHERE json_type(x) = 'OBJECT'"""
+    ok AS (SELECT DISTINCT record_id, payload::JSON AS j FROM report_records WHERE json_valid(payload)),
+    plain AS (SELECT record_id, CASE WHEN json_type(j, '$.result') IS NOT NULL THEN {_TEXT("(j -> '$.result')")} ELSE j END AS j FROM (SELECT record_id, {_TEXT("j")} AS j FROM ok)),
+    record AS (SELECT record_id, j AS x FROM plain WHERE json_type(j) = 'OBJECT'),
+    rating AS (SELECT record_id, r.i::INT - 1 AS rating_pos, r.x FROM (SELECT record_id, {_TEXT("(x -> '$.ratings')")} AS rs FROM record) p,
+        LATERAL (SELECT unnest({_LISTED("rs")}) AS x, generate_subscripts({_LISTED("rs")}, 1) AS i) r WHERE json_type(r.x) = 'OBJECT'),
+    lists AS (SELECT record_id, -1 AS rating_pos, {_TEXT("(x -> '$.step_assessments')")} AS steps FROM record
+        UNION ALL SELECT record_id, rating_pos, {_TEXT("(x -> '$.steps')")} FROM rating),
+    step AS (SELECT * FROM (SELECT record_id, rating_pos, unnest({_LISTED("steps")}) AS x, generate_subscripts({_LISTED("steps")}, 1)::INT - 1 AS step_pos FROM lists) WHERE json_type(x) = 'OBJECT'),
+    kids AS (SELECT record_id, rating_pos, step_pos, 'evidence' AS child, {_TEXT("(x -> '$.evidence')")} AS c FROM step
+        UNION ALL SELECT record_id, rating_pos, step_pos, 'suggestion', {_TEXT("(x -> '$.suggestions')")} FROM step),
+    each AS (SELECT * FROM (SELECT record_id, rating_pos, step_pos, child, unnest({_LISTED("c")}) AS x, generate_subscripts({_LISTED("c")}, 1)::INT - 1 AS child_pos FROM kids) WHERE json_type(x) = 'OBJECT'),
+    evidence AS (SELECT * FROM each WHERE child = 'evidence'), suggestion AS (SELECT * FROM each WHERE child = 'suggestion')"""
+
+
+def _table_sql(tbl: str) -> str:
+    links = {"record": (), "rating": ("rating_pos",), "step": ("rating_pos", "step_pos")}.get(tbl, ("rating_pos", "step_pos", "child_pos"))
+    field = lambda path: f"CASE WHEN json_type(x, '$.{path}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN x ->> '$.{path}' END"
+    fields = [f"coalesce({field(f)}, {field('span.' + f)})" if tbl == "evidence" and f in ("section_id", "page", "quote") else field(f) for f in FIELDS[tbl]]
+    return f"WITH {_nodes()} SELECT DISTINCT {', '.join(['record_id', *links, *(f'{x} AS {n}' for x, n in zip(fields, FIELDS[tbl]))])} FROM {tbl}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _sql()}
+    return {"p5_found": f"WITH {_nodes()} SELECT DISTINCT record_id, rating_pos, step_pos, child, child_pos FROM each"} | {f"p5_{tbl}s": _table_sql(tbl) for tbl in FIELDS}

@@ -9,12 +9,11 @@ SCHEMA = "record_id long, record_kind string, payload string, tbl string"
 
 
 def _load(v):
-    for _ in range(4):
-        if isinstance(v, str):
-            try:
-                v = json.loads(v)
-            except ValueError:
-                return None
+    while isinstance(v, str):
+        try:
+            v = json.loads(v)
+        except ValueError:
+            return None
     return v
 
 
@@ -88,3 +87,16 @@ def test_frames(spark):
     ev = nested_json.table_of(flat, "evidence").distinct().collect()
     assert [(r.record_id, r.rating_pos, r.step_pos, r.child_pos, len(r.quote)) for r in ev] == [(1, -1, 1, 0, 100_000)]
     assert nested_json.flatten_reports(df.limit(0)).count() == 0
+
+
+def test_any_depth(spark):
+    """Parts encoded into strings nine times and wrapped seven times over still come out."""
+    step = {"step_id": "S1", "evidence": [{"quote": "deep"}], "suggestions": None}
+    steps = [step]
+    for _ in range(9):
+        steps = json.dumps(steps)
+    wrapped = {"step_assessments": steps}
+    for _ in range(7):
+        wrapped = {"result": json.dumps(wrapped)}
+    rows = nested_json.flatten_reports(spark.createDataFrame([(1, "scored_result", json.dumps(json.dumps(wrapped)), "x")], SCHEMA)).collect()
+    assert [(r.tbl, r.step_pos, r.child_pos, r.quote) for r in rows if r.tbl == "evidence"] == [("evidence", 0, 0, "deep")]
