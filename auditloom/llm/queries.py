@@ -22,6 +22,11 @@ def p1_raters(spark: SparkSession, d: str) -> DataFrame:
     return consensus_labels.fit_consensus(_read(spark, d, "ratings")).raters
 
 
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """What SQL can say of the items too: votes, different labels and the share of agreeing pairs of votes."""
+    return p1_items(spark, d).select("work_id", "step_id", "n_votes", "n_labels", F.round("agreement", 9).alias("agreement"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_items(spark, d).filter("n_labels > 1").select("work_id", "step_id", "label")
 
@@ -107,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_items, p1_raters, p1_found, p2_pieces, p2_restored, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p6_unified, p7_containers, p8_leaks, p8_found, p8_kept, p9_restored, p9_found)}
+    return {f.__name__: f for f in (p1_items, p1_raters, p1_agreement, p1_found, p2_pieces, p2_restored, p2_found, p3_mapped, p3_found, p4_linked, p4_found, p6_found, p6_unified, p7_containers, p8_leaks, p8_found, p8_kept, p9_restored, p9_found)}
 
 
 def _unified_sql(skeleton: bool) -> str:
@@ -138,9 +143,22 @@ def _p6_sql() -> str:
         GROUP BY evidence_id, doc_key, sid, q.t HAVING NOT bool_or(contains(s.t, q.t))"""
 
 
+def _p1_sql() -> str:
+    plain = lambda x: f"(CASE regexp_replace(trim(lower({x})), '[\\s_-]+', '_', 'g') " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in consensus_labels.ALIASES.items()) + f" ELSE regexp_replace(trim(lower({x})), '[\\s_-]+', '_', 'g') END)"
+    return f"""WITH last AS (SELECT * FROM ratings WHERE work_id IS NOT NULL AND rater_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY work_id, rater_id ORDER BY coalesce(rated_at, TIMESTAMP '0001-01-01') DESC, rating_id DESC) = 1),
+        rows AS (SELECT work_id, rater_id, i, steps[i].step_id AS step_id, {plain("steps[i].status")} AS label FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM last)
+            WHERE {plain("steps[i].status")} IN {consensus_labels.STATUS} AND steps[i].step_id IS NOT NULL
+            UNION ALL SELECT work_id, rater_id, 0, 'relevance', {plain("relevance_label")} FROM last WHERE {plain("relevance_label")} IN {consensus_labels.RELEVANCE}),
+        votes AS (SELECT work_id, step_id, arg_max(label, i) AS label FROM rows GROUP BY work_id, step_id, rater_id),
+        tally AS (SELECT work_id, step_id, label, count(*) AS n FROM votes GROUP BY ALL)
+        SELECT work_id, step_id, sum(n)::BIGINT AS n_votes, count(*)::INT AS n_labels, round(sum(n * (n - 1)) / nullif(sum(n) * (sum(n) - 1), 0), 9) AS agreement FROM tally GROUP BY work_id, step_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     sections = "(SELECT doc_key, i - 1 AS section_pos, sections[i] AS s FROM (SELECT doc_key, sections, unnest(range(1, len(sections) + 1)) AS i FROM parsed_docs))"
     return {
+        "p1_agreement": _p1_sql(),
         "p6_found": _p6_sql(),
         "p6_unified": f"""WITH stored AS (SELECT 'evidence' AS src, evidence_id AS row_key, span.section_id AS section_id, span.quote AS t FROM evidence
                 UNION ALL SELECT 'section', doc_key, s.id, s.text FROM {sections}),
