@@ -1,8 +1,9 @@
 """Problem 4: link the spellings of one person or group.
 
-Suffix blocking on name tokens: every suffix from a minimum length up is a block, beside beginnings and single deletions; an
-overly common one is spread over tasks and still compared as a whole. Pairs in a block are compared by the ratio of their longest common
-subsequence. That joins misspelt family names to the usual spelling; within a family the given names decide.
+Suffix blocking on name tokens: every suffix from a minimum length up is a block, beside beginnings and single deletions.
+Overly common blocks are refined by the initials of the given names; what is common even then is spread over tasks and
+compared as a whole. Pairs in a block are compared by the ratio of their longest common subsequence. That joins misspelt
+family names to the usual spelling; within a family the given names decide.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.unify_text import LOOKALIKES
+from auditloom.operators.skew import skew_join
 from auditloom.session import cut
 
 # Short forms of given names.
@@ -75,7 +77,7 @@ def parse_name(name: str) -> dict | None:
         return {"tokens": [*(c + "." for c in initials[0].lower()), *tokens], "before": 0, "is_group": False}
     bare = [t.rstrip(".") for t in tokens]
     if any(b in GROUP_WORDS for b in bare) and len(bare) > 2:
-        full = [GROUP_WORDS.get(b, GROUP_SHORT.get(b, b)) for b in bare if b not in ("the", "of", "for", "and", "on", "in", "at", "cons") and b not in PARTICLES]
+        full = [GROUP_WORDS.get(b, GROUP_SHORT.get(b, b)) for b in bare if b not in ("the", "of", "for", "and", "on", "in", "at") and b not in PARTICLES]
         return {"tokens": full, "before": 0, "is_group": True}
     return {"tokens": tokens, "before": len(sides[0]) if len(sides) > 1 else 0, "is_group": False}
 
@@ -139,15 +141,16 @@ def _nearest(ratio: float, names: list[str]):
     return run
 
 
-def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float, common: int = 50, part: int = 1000) -> DataFrame:
+def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float, common: int = 50, part: int = 1000, refine: str | None = None) -> DataFrame:
     """Pairs (token, main) of similar tokens within ``scope``, the more frequent one as main; ``tokens``: scope, token, n.
 
     Blocks are all suffixes of at least ``least`` letters, the first half of the token (also one letter less) for misspelt
     last letters and, for tokens too short to keep either, the token without any one of its letters: tokens that differ by
-    one letter (changed, lost, added, swapped with its neighbour) always share a block. Nothing is discarded but blocks of
-    one. In a block with more than ``common`` tokens, which a hot name makes, all tokens are still compared, from the most
-    frequent on and only until one is similar: of such a block come each token's most frequent mains, not the rarer ones.
-    It is spread over tasks by ``part`` tokens each.
+    one letter (changed, lost, added, swapped with its neighbour) always share a block. Blocks with more than ``common``
+    tokens are first refined by another field: ``refine`` names an array of bytes, such as hashed initials of the given
+    names, of which two tokens must share one; an empty array goes with all. What is still common then, as a hot name
+    makes it, isn't discarded: all its tokens are compared, from the most frequent on and only until one is similar, so of
+    such a block come each token's most frequent mains, not the rarer ones. It is spread over tasks by ``part`` tokens each.
     """
     length = F.length("token")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(length - least + 1, F.lit(1))), lambda i: F.substring(F.col("token"), i, length))
@@ -155,10 +158,21 @@ def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float
     halves = F.array(F.concat(F.lit("^"), half(0)), F.concat(F.lit("^"), half(1)))
     without = F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(F.lit("-"), F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, length)))
     without = F.when(length <= 2 * least + 2, F.concat(without, F.array(F.concat(F.lit("-"), "token")))).otherwise(F.array().cast("array<string>"))
-    blocks = tokens.withColumn("block", F.explode(F.array_distinct(F.concat(suffixes, halves, without))))
-    sizes = blocks.groupBy(*scope, "block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    blocks = blocks.join(sizes, [*scope, "block"])
-    few = blocks.filter(F.col("size") <= common)
+    other = F.col(refine) if refine else F.array().cast("array<tinyint>")
+    blocks = tokens.withColumn("block", F.explode(F.array_distinct(F.concat(suffixes, halves, without)))).select(*scope, "block", "token", "n", other.alias("other"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(df.groupBy(*scope, "block").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), [*scope, "block"])
+
+    blocks = cut(sized(blocks))
+    few, many = blocks.filter(F.col("size") <= common).drop("other", "size"), blocks.filter(F.col("size") > common).drop("size")
+    if refine:
+        kinds = F.when(F.size("other") > 0, F.col("other")).otherwise(F.sequence(F.lit(0), F.lit(31)).cast("array<tinyint>"))
+        refined = many.withColumn("kind", F.explode(F.array_distinct(kinds))).withColumn("block", F.concat("block", F.lit("\t"), "kind")).drop("kind", "other")
+        refined = cut(sized(refined))
+        few, many = few.unionByName(refined.filter(F.col("size") <= common).drop("size")), refined.filter(F.col("size") > common)
+    else:
+        many = blocks.filter(F.col("size") > common)
     left = few.select(*scope, "block", "token", "n")
     right = few.select(*scope, "block", F.col("token").alias("main"), F.col("n").alias("m"))
     nearer = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("main") < F.col("token")))
@@ -166,26 +180,28 @@ def similar_tokens(tokens: DataFrame, scope: list[str], least: int, ratio: float
     pairs = left.join(right, [*scope, "block"]).filter(alike).select(*scope, "token", "main", "n", "m").distinct()
     pairs = pairs.withColumn("ratio", lcs_ratios("token", "main")).filter(F.col("ratio") >= ratio)
     parts = F.ceil(F.col("size") / part).cast("int")
-    many = blocks.filter(F.col("size") > common).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("token"), parts) == F.col("part"))
-    nearest = many.groupBy(*scope, "block", "part").applyInPandas(_nearest(ratio, scope), pairs.schema)
+    spread = many.select(*scope, "block", "token", "n", "size").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("own", F.pmod(F.xxhash64("token"), parts) == F.col("part"))
+    nearest = spread.groupBy(*scope, "block", "part").applyInPandas(_nearest(ratio, scope), pairs.schema)
     return pairs.unionByName(nearest).distinct()
 
 
-def _usual(tokens: DataFrame, scope: list[str], least: int, ratio: float) -> DataFrame:
-    """Each token with its usual spelling: the most frequent similar token that isn't itself a misspelling of another."""
-    pairs = similar_tokens(tokens, scope, least, ratio)
-    best = pairs.groupBy(*scope, "token").agg(F.max_by("main", F.struct("m", "ratio", "main")).alias("main"))
-    again = best.select(*scope, F.col("token").alias("main"), F.col("main").alias("end"))
-    return best.join(again, [*scope, "main"], "left").select(*scope, "token", F.coalesce("end", "main").alias("usual"))
+def _usual(pairs: DataFrame, scope: list[str]) -> DataFrame:
+    """Each token with the usual spelling at the end of its chain, however long: a token hangs on its most frequent similar one, that perhaps on another."""
+    best = cut(pairs.groupBy(*scope, "token").agg(F.max_by("main", F.struct("m", "ratio", "main")).alias("usual")))
+    while True:  # each turn doubles the length of chain that is followed; they have no circles, as a main is always the nearer one
+        ends = best.select(*scope, F.col("token").alias("usual"), F.col("usual").alias("end"))
+        if best.join(ends, [*scope, "usual"], "left_semi").isEmpty():
+            return best
+        best = cut(best.join(ends, [*scope, "usual"], "left").select(*scope, "token", F.coalesce("end", "usual").alias("usual")))
 
 
 def name_entities(archived_papers: DataFrame, column: str = "paper_authors") -> DataFrame:
     """Each distinct spelling with the entity it means: name, entity.
 
-    Null, blank and stand-in entries give no row. Initials, short forms and nicknames join the one given name of their
-    family that they fit; where they fit several or none they form an entity of their own. Family names under six letters
-    are taken as spelt: one letter apart, they are more often two names than one (Brown, Browne), and a changed or swapped
-    letter leaves them under the ratio.
+    Null, blank and stand-in entries give no row. Misspelt family names of six letters and more join the usual spelling;
+    shorter ones only where the given name is the same and the misspelling is rare. Initials, short forms and nicknames join
+    the one given name of their family that they fit, among those that stand there in full or as a nickname's full form;
+    where they fit several or none they form an entity of their own.
     """
     names = archived_papers.select(F.explode(column).alias("name")).filter(F.trim("name") != "").distinct()
     parsed = cut(names.mapInPandas(_parsed, "name string, tokens array<string>, before int, is_group boolean"))
@@ -202,46 +218,63 @@ def name_entities(archived_papers: DataFrame, column: str = "paper_authors") ->
     parts = scored.groupBy("name", "is_group").agg(F.max(F.struct(score.alias("score"), F.when(F.col("is_group"), F.length("token")).otherwise(0).alias("len"), "pos", "token")).alias("f"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("all"))
     rest = F.transform(F.filter("all", lambda x: (x["pos"] != F.col("f.pos")) & ~x["token"].isin(*sorted(PARTICLES))), lambda x: x["token"])
     parts = cut(parts.select("name", "is_group", F.rtrim(F.col("f.token"), F.lit(".")).alias("family"), rest.alias("rest")))
-    # misspelt family names
-    families = parts.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("one"), F.col("family").alias("token"), "n")
-    usual = _usual(families.filter(F.length("token") >= 6), ["one"], 5, 0.85).select(F.col("token").alias("family"), "usual")
-    parts = parts.join(usual, "family", "left").withColumn("family", F.coalesce("usual", "family")).drop("usual")
     # given names: whole words written together, else the first initial or the beginning
     words = F.filter("rest", lambda t: ~t.endswith(".") & (F.length(t) > 2))
     dotted = F.filter("rest", lambda t: t.endswith("."))
     given = F.when(F.col("is_group"), F.array_join(F.array_sort("rest"), " ")).otherwise(F.array_join(words, ""))
     parts = parts.withColumn("given", given).withColumn("start", F.rtrim(F.coalesce(F.try_element_at(dotted, F.lit(1)), F.lit("")), F.lit(".")))
+    # misspelt family names
+    initial = F.when(F.length("given") > 0, F.substring("given", 1, 1)).when(F.length("start") > 0, F.substring("start", 1, 1))
+    kind = F.when(~F.col("is_group") & initial.isNotNull(), F.pmod(F.xxhash64(initial), F.lit(32)).cast("tinyint"))
+    families = parts.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.collect_set(kind).alias("kinds")).select(F.lit(1).alias("one"), F.col("family").alias("token"), "n", "kinds")
+    usual = _usual(similar_tokens(families.filter(F.length("token") >= 6), ["one"], 5, 0.85, refine="kinds"), ["one"]).select(F.col("token").alias("family"), "usual")
+    parts = cut(parts.join(usual, "family", "left").withColumn("family", F.coalesce("usual", "family")).drop("usual"))
+    # short ones only beside the same given name
+    brief = parts.filter(~F.col("is_group") & (F.length("given") > 2) & F.length("family").between(3, 7)).groupBy("given", F.col("family").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = similar_tokens(brief, ["given"], 3, 0.8).filter((F.least(F.length("token"), F.length("main")) < 6) & ((F.col("n") == 1) | (F.col("n") * 3 <= F.col("m"))))
+    usual = _usual(pairs, ["given"]).select("given", F.col("token").alias("family"), "usual", F.lit(False).alias("is_group"))
+    parts = parts.join(usual, ["given", "family", "is_group"], "left").withColumn("family", F.coalesce("usual", "family")).drop("usual")
     short = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
     parts = cut(parts.withColumn("long", F.when(~F.col("is_group"), F.split(F.try_element_at(short, F.col("given")), " "))))
     # misspelt given names, within one family
     givens = parts.filter((F.length("given") > 2) & F.col("long").isNull()).groupBy("family", "is_group", F.col("given").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    right = _usual(givens, ["family", "is_group"], 3, 0.8).select("family", "is_group", F.col("token").alias("given"), "usual")
-    parts = parts.join(right, ["family", "is_group", "given"], "left").withColumn("given", F.coalesce("usual", "given")).drop("usual")
-    parts = cut(parts)
-    whole = parts.filter((F.length("given") > 2) & F.col("long").isNull())
-    entity = F.concat_ws("|", F.when(F.col("is_group"), "group").otherwise("person"), "family", "given")
-    done = whole.select("name", entity.alias("entity"))
-    people = whole.filter(~F.col("is_group")).groupBy("family", "given").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("given", "full")
-    # nicknames by their long forms; initials and beginnings by the given names of the family that begin alike
-    nick = parts.filter(F.col("long").isNotNull()).select("name", "family", "given", F.explode("long").alias("full")).join(people, ["family", "full"], "left")
-    first = lambda c: F.substring(c, 1, 1)
+    right = _usual(similar_tokens(givens, ["family", "is_group"], 3, 0.8), ["family", "is_group"]).select("family", "is_group", F.col("token").alias("given"), "usual")
+    parts = cut(parts.join(right, ["family", "is_group", "given"], "left").withColumn("given", F.coalesce("usual", "given")).drop("usual"))
+    whole = parts.filter((F.length("given") > 2) & F.col("long").isNull()).select("name", "is_group", "family", F.col("given").alias("full"))
+    people = whole.filter(~F.col("is_group")).select("family", "full").distinct()
+    # nicknames by their long forms: the one that stands in the family, else the first of them
+    nicks = parts.filter(F.col("long").isNotNull()).select("family", "given", "long").distinct()
+    known = nicks.select("family", "given", F.explode("long").alias("full")).join(people.withColumn("there", F.lit(True)), ["family", "full"], "left")
+    known = known.groupBy("family", "given").agg(F.collect_set(F.when(F.col("there"), F.col("full"))).alias("fits"), F.min("full").alias("else"))
+    known = cut(known.select("family", "given", F.when(F.size("fits") == 1, F.col("fits")[0]).otherwise(F.col("else")).alias("full")))
+    nick = parts.filter(F.col("long").isNotNull()).join(known, ["family", "given"]).select("name", "is_group", "family", "full")
+    # initials and beginnings by the given names that begin alike; each kind of them once per family
+    people = people.unionByName(known.select("family", "full")).distinct()
     loose = parts.filter((F.length("given") <= 2) & ~F.col("is_group")).withColumn("start", F.when(F.length("start") > 0, F.col("start")).otherwise(F.col("given")))
-    begun = loose.filter(F.length("start") > 0).withColumn("initial", first("start")).join(people.withColumn("initial", first("full")), ["family", "initial"], "left").withColumn("full", F.when(F.col("full").startswith(F.col("start")) , F.col("full")))
-    nick = nick.withColumn("known", F.when(F.col("n").isNotNull(), F.col("full")))
-    by_nick = nick.groupBy("name", "family", "given").agg(F.collect_set("known").alias("fits"), F.min("full").alias("else"))
-    by_start = begun.groupBy("name", "family", "start").agg(F.collect_set("full").alias("fits"), F.first("start").alias("else"))
-    both = by_nick.select("name", "family", "fits", "else").unionByName(by_start.select("name", "family", "fits", "else"))
-    rest_of = both.select("name", F.concat_ws("|", F.lit("person"), "family", F.when(F.size("fits") == 1, F.col("fits")[0]).otherwise(F.col("else"))).alias("entity"))
-    alone = loose.filter(F.length("start") == 0).select("name", F.concat_ws("|", F.lit("person"), "family", F.lit("")).alias("entity"))
-    return done.unionByName(rest_of).unionByName(alone)
+    first = lambda c: F.substring(c, 1, 1)
+    starts = loose.select("family", "start").filter(F.length("start") > 0).distinct().withColumn("initial", first("start"))
+    begun = starts.join(people.withColumn("initial", first("full")), ["family", "initial"]).filter(F.col("full").startswith(F.col("start")))
+    only = begun.groupBy("family", "start").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full")).filter("n = 1").drop("n")
+    rest = loose.join(only, ["family", "start"], "left").select("name", "is_group", "family", F.coalesce("full", "start").alias("full"))
+    entity = F.concat_ws("|", F.when(F.col("is_group"), "group").otherwise("person"), "family", "full")
+    return whole.unionByName(nick).unionByName(rest).select("name", entity.alias("entity"))
 
 
 def link_variants(archived_papers: DataFrame, column: str = "paper_authors") -> DataFrame:
-    """Pairs of distinct spellings of one entity: name_a, name_b, entity; name_a < name_b in byte order.
+    """Each distinct spelling once: name, entity, representative (the entity's most used spelling, of equals the first), n_spellings."""
+    uses = archived_papers.select(F.explode(column).alias("name")).filter(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
+    entities = cut(name_entities(archived_papers, column))
+    heads = entities.join(uses, "name").groupBy("entity").agg(F.min(F.struct((-F.col("uses")).alias("uses"), "name"))["name"].alias("representative"), F.count(F.lit(1)).alias("n_spellings"))
+    return skew_join(entities, heads, ["entity"]).select("name", "entity", "representative", "n_spellings")
+
+
+def variant_pairs(entities: DataFrame) -> DataFrame:
+    """All pairs of distinct spellings of one entity, from name_entities(): name_a, name_b; name_a < name_b in byte order.
 
-    Spellings are linked within their entity only, so the pairs are those of the result and no others are formed.
+    Spellings meet within their entity only, so the pairs formed are those of the result, twice; an entity with a large
+    share of the spellings is salted.
     """
-    entities = name_entities(archived_papers, column)
+    entities = cut(entities)
     a = entities.select(F.col("name").alias("name_a"), "entity")
     b = entities.select(F.col("name").alias("name_b"), "entity")
-    return a.join(b, "entity").filter(F.col("name_a") < F.col("name_b")).select("name_a", "name_b", "entity")
+    return skew_join(a, b, ["entity"]).filter(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")

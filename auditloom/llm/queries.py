@@ -70,7 +70,7 @@ def p4_linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_linked(spark, d).select("name_a", "name_b").distinct()
+    return name_variants.variant_pairs(name_variants.name_entities(_read(spark, d, "archived_papers")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -184,6 +184,10 @@ def test_lcs_ratio_matches_table():
         assert abs(name_variants.lcs_ratio(a, b) - slow(a, b)) < 1e-12
 
 
+def _pairs(df):
+    return {(r.name_a, r.name_b) for r in name_variants.variant_pairs(name_variants.name_entities(df)).collect()}
+
+
 def test_variants_link(spark):
     people = [
         ["Edward Fulrivontfelaino", "FULRIVONTFELAINO, Edward", "Ned Fulrivontfelaino", "Fulrivontfelaino E", "Edwrad Fulrivontfelaino", "Edward Fulrivontfelaimo", "Dr. Edward Fulrivontfelaino, PhD", "E. K. Fulrivontfelaino", "Edw. Fulrivontfelaino"],
@@ -192,10 +196,20 @@ def test_variants_link(spark):
     ]
     rows = [([n, None, "", " ", "et al.", "Anonymous"], 1) for p in people for n in p] + [(["Edward Fulrivontfelaino"] * 3, 1), (None, 2), ([], 3)]
     df = spark.createDataFrame(rows, "paper_authors array<string>, entity int")
-    got = {(r.name_a, r.name_b) for r in name_variants.link_variants(df).collect()}
     want = {(a, b) for p in people for a in p for b in p if a.encode() < b.encode()}
-    assert got == want
-    assert name_variants.link_variants(df.limit(0)).count() == 0
+    assert _pairs(df) == want
+    linked = {r.name: r for r in name_variants.link_variants(df).collect()}
+    assert {(a, b) for a in linked for b in linked if a.encode() < b.encode() and linked[a].entity == linked[b].entity} == want
+    assert linked["Ned Fulrivontfelaino"].representative == "Edward Fulrivontfelaino" and linked["Edward Grepolpenair"].n_spellings == 1
+    assert name_variants.link_variants(df.limit(0)).count() == 0 and not _pairs(df.limit(0))
+
+
+def test_chains_short_names_and_ambiguous_initials(spark):
+    chain = ["Anna Kovvarelinnna", "Anna Kovvarelinna", "Anna Kovarelinna", "Anna Kovarelina", "Anna Kovarelina, PhD", "KOVARELINA, Anna", "Anna Kovarelinna, PhD"]
+    novak = ["Ivana Novak", "Ivana Novvak", "Ivana Novk"]
+    apart = ["Jan Wang", "Joe Wang", "J. Wang", "Petra Novik", "Peter Wang"]
+    df = spark.createDataFrame([([n],) for n in chain + novak + apart], "paper_authors array<string>")
+    assert _pairs(df) == {(a, b) for p in (chain, novak) for a in p for b in p if a.encode() < b.encode()}
 
 
 def _misspelt(name, n, rng):
@@ -242,10 +256,9 @@ def test_short_family_names_with_one_typo(spark):
 def test_every_step_id_has_its_label_shares(spark):
     rows = [(f"w{i}", f"S{k}", "step", float(k % 2), float(1 - k % 2), 0.0, 0.0) for k in range(1200) for i in range(2)] + [("w0", "R", next(t for t in consensus_labels.TASKS if t == "relevance"), 1.0, 0.0, 0.0, 0.0)]
     task = next(t for t in consensus_labels.TASKS if t != "relevance")
-    share = spark.createDataFrame([(w, s, task if t == "step" else t, *q) for w, s, t, *q in rows], "work_id string, step_id string, task string, q0 double, q1 double, q2 double, q3 double")
-    votes = share.filter("work_id = 'w0'").select("work_id", "step_id", "task", F.lit("r").alias("rater_id"), F.lit(0).alias("code"))
-    logs = spark.createDataFrame([("r", t, 0, 0.0, 0.0, 0.0, 0.0) for t in consensus_labels.TASKS], "rater_id string, task string, code int, l0 double, l1 double, l2 double, l3 double")
-    got = {r.step_id: (r.q0, r.q1, r.q2, r.q3) for r in consensus_labels._posterior(votes, logs, consensus_labels._step_priors(share), False).collect()}
+    share = spark.createDataFrame([(w, s, task if t == "step" else t, *q, 1.0) for w, s, t, *q in rows], "work_id string, step_id string, task string, q0 double, q1 double, q2 double, q3 double, n double")
+    sums = share.filter("work_id = 'w0'").select("step_id", "task", *[F.lit(0.0).alias(f"s{t}") for t in range(4)])
+    got = {r.step_id: (r.q0, r.q1, r.q2, r.q3) for r in consensus_labels._posterior(sums.join(consensus_labels._step_priors(share), ["step_id", "task"])).collect()}
     assert len(got) == 1201
     k = len(consensus_labels.TASKS[task])
     for i in range(1200):
