@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,40 +12,33 @@ from pyspark.sql import types as T
 
 from auditloom.operators.archive import first_of
 
-CITATION = T.StructType([T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("date", T.StringType()), T.StructField("doi", T.StringType()), T.StructField("pdf_url", T.StringType())])
+class _Tags(HTMLParser):
+    """Every meta tag of a page, in its order."""
 
-
-class _Meta(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.first: dict[str, str] = {}
-        self.authors: list[str] = []
+    def __init__(self, html: str):
+        super().__init__()
+        self.seen: list[dict] = []
+        with suppress(AssertionError):  # the parser's answer to some broken declarations; the tags before it count
+            self.feed(html)
+            self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag != "meta":
-            return
-        at = {k: v or "" for k, v in attrs}
-        name, content = (at.get("name") or at.get("property") or "").lower(), at.get("content", "").strip()
-        if name == "citation_author" and content:
-            self.authors.append(content)
-        elif name.startswith("citation_") and content:
-            self.first.setdefault(name, content)
-
-
-def read_citation(html: str | None) -> dict:
-    parser = _Meta()
-    try:
-        parser.feed(html or "")
-    except Exception:  # what was read so far counts
-        pass
-    get = parser.first.get
-    return {"title": get("citation_title"), "authors": parser.authors, "date": get("citation_publication_date") or get("citation_date") or get("citation_online_date"), "doi": get("citation_doi"), "pdf_url": get("citation_pdf_url")}
-
-
-@F.pandas_udf(CITATION)
-def citation_meta(html: pd.Series) -> pd.DataFrame:
-    """The citation tags of a landing page; authors add up in order, of other tags the first value counts. HTML needs a real parser, hence Arrow batches."""
-    return pd.DataFrame([read_citation(x) for x in html], columns=[f.name for f in CITATION.fields])
+        self.seen += [dict(attrs)] * (tag == "meta")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("content", T.StringType())])))
+def meta_tags(html: pd.Series) -> pd.Series:
+    """The meta tags of pages with a name (or property) and content. HTML needs a real parser, hence Arrow batches."""
+    return html.map(lambda page: [{"key": t.get("name") or t.get("property"), "content": t.get("content")} for t in _Tags(page or "").seen])
+
+
+def citation_meta(html: Column) -> Column:
+    """title, authors, date, doi and pdf_url from a page's citation tags: authors add up in order, of other tags the first value counts."""
+    tags = F.transform(meta_tags(html), lambda t: F.struct(F.lower(F.trim(t["key"])).alias("key"), F.trim(t["content"]).alias("content")))
+    tags = F.filter(tags, lambda t: t["key"].startswith("citation_") & (t["content"] != ""))
+    each = lambda key: F.transform(F.filter(tags, lambda t: t["key"] == f"citation_{key}"), lambda t: t["content"])
+    first = lambda *keys: F.coalesce(*[F.try_element_at(each(k), F.lit(1)) for k in keys])
+    return F.struct(first("title").alias("title"), each("author").alias("authors"), first("publication_date", "date", "online_date").alias("date"), first("doi").alias("doi"), first("pdf_url").alias("pdf_url"))
 
 
 def fetch_error(status: Column, head: Column) -> Column:
