@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,52 +90,57 @@ def wilson(x: Column, n: Column, z: float = Z95) -> Column:
 def icc_a1(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Two-way absolute-agreement intraclass correlation of pairs of numbers: n, icc; null under two pairs or without variance.
 
-    From sums of the pairs' deviations from one grand mean; the mean is a first small aggregation, which keeps it stable.
+    One aggregation: the mean squares are sample variances of each pair's mean and difference, which keeps it stable.
     """
-    used = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    g = used.agg(F.avg((F.col("a") + F.col("b")) / 2)).first()[0] or 0.0
-    x, y = F.col("a") - g, F.col("b") - g
-    s = used.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x + y * y).alias("tot"), F.sum(2 * F.pow((x + y) / 2, 2)).alias("rows"))
-    n = F.col("n")
-    cols = n * (F.pow(F.col("sx") / n, 2) + F.pow(F.col("sy") / n, 2))
-    s = s.withColumn("msr", F.col("rows") / F.nullif(n - 1, F.lit(0.0))).withColumn("msc", cols).withColumn("mse", (F.col("tot") - F.col("rows") - cols) / F.nullif(n - 1, F.lit(0.0)))
-    den = F.col("msr") + F.col("mse") + 2 * (F.col("msc") - F.col("mse")) / n
-    return s.select(n.cast("long").alias("n"), F.when((n >= 2) & (F.col("tot") > 0), (F.col("msr") - F.col("mse")) / F.nullif(den, F.lit(0.0))).alias("icc"))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    s = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count(F.lit(1)).alias("n"), (2 * F.var_samp((x + y) / 2)).alias("msr"), (F.var_samp(x - y) / 2).alias("mse"), F.avg(x - y).alias("d"))
+    n = F.col("n").cast("double")
+    msc = n * F.col("d") * F.col("d") / 2
+    den = F.col("msr") + F.col("mse") + 2 * (msc - F.col("mse")) / n
+    varies = (F.col("msr") > 0) | (F.col("mse") > 0) | (F.col("d") != 0)
+    return s.select("n", F.when((n >= 2) & varies, (F.col("msr") - F.col("mse")) / F.nullif(den, F.lit(0.0))).alias("icc"))
+
+
+def _times(unit: Column, k: Column, seed: int) -> Column:
+    """How often a unit is drawn in resample ``k``: a Poisson number of mean 1 from a hash, the same wherever it is computed."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), k.cast("string"), unit.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    below, p = 0.0, math.exp(-1)
+    steps = []
+    for j in range(12):  # the thirteenth step lies beyond what 32 bits can tell from 1
+        below += p
+        p /= j + 1
+        steps.append(F.when(u >= below, 1).otherwise(0))
+    return sum(steps[1:], steps[0])
+
+
+def bootstrap(units: DataFrame, unit: str, sums: Sequence[str], stat: Callable[[dict[str, Column]], Column], resamples: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile interval of any statistic of sums over units, by resampling units: n_resamples, lo, hi.
+
+    ``units``: one row per unit with the columns ``sums``; ``stat`` gives the statistic from the resampled sums. Each
+    unit enters a resample a Poisson number of times, drawn from a hash of the unit, so units are neither collected nor
+    shuffled: only ``resamples`` rows of sums are. Null statistics are left out; without units the interval is null.
+    """
+    k = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    drawn = units.select(F.col(unit).alias("_u"), *sums, k.alias("_k")).withColumn("_t", _times(F.col("_u"), F.col("_k"), seed)).filter("_t > 0")
+    summed = drawn.groupBy("_k").agg(*[F.sum(F.col(c) * F.col("_t")).cast("double").alias(c) for c in sums])
+    tail = (1 - level) / 2
+    return summed.select(stat({c: F.col(c) for c in sums}).alias("v")).agg(F.count("v").alias("n_resamples"), F.percentile("v", F.lit(tail)).alias("lo"), F.percentile("v", F.lit(1 - tail)).alias("hi"))
 
 
 def bootstrap_kappa(pairs: DataFrame, cluster: str, order: Sequence[str], a: str = "a", b: str = "b", resamples: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of kappa over resampled clusters: n_resamples, lo, hi.
-
-    Each cluster's cells are counted first; a resample draws as many clusters as there are, with replacement. The draws come
-    from a seeded generator over the clusters in their order, as counts per resample, so the table that is joined has one row
-    per drawn cluster and resample. Meant for a validation set: at most 100,000 clusters.
-    """
-    spark = pairs.sparkSession
-    units = pairs.filter(F.col(a).isin(*order) & F.col(b).isin(*order)).groupBy(F.col(cluster).alias("u")).agg(*[F.count(F.when((F.col(a) == x) & (F.col(b) == y), 1)).alias(f"n_{i}_{j}") for i, x in enumerate(order) for j, y in enumerate(order)])
-    names = [r.u for r in units.select("u").orderBy("u").limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("bootstrap_kappa is for validation sets of at most 100,000 clusters")
-    rng = random.Random(seed)
-    drawn = []
-    for k in range(resamples):
-        times: dict = {}
-        for _ in names:
-            u = names[rng.randrange(len(names))]
-            times[u] = times.get(u, 0) + 1
-        drawn += [(k, u, t) for u, t in times.items()]
-    draws = spark.createDataFrame(drawn, f"k int, u {units.schema['u'].dataType.simpleString()}, t int")
-    cells = [f"n_{i}_{j}" for i in range(len(order)) for j in range(len(order))]
-    sums = draws.join(units, "u").groupBy("k").agg(*[F.sum(F.col(c) * F.col("t")).cast("double").alias(c) for c in cells])
-    long = sums.select("k", *cells)
-    m = len(order)
-    total = sum([F.col(c) for c in cells[1:]], F.col(cells[0]))
-    row = [sum([F.col(f"n_{i}_{j}") for j in range(1, m)], F.col(f"n_{i}_0")) for i in range(m)]
-    col = [sum([F.col(f"n_{i}_{j}") for i in range(1, m)], F.col(f"n_0_{j}")) for j in range(m)]
-    po = sum([F.col(f"n_{i}_{i}") for i in range(1, m)], F.col("n_0_0")) / total
-    pe = sum([row[i] * col[i] for i in range(1, m)], row[0] * col[0]) / (total * total)
-    value = F.when(pe == 1.0, F.when(po == 1.0, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe))
-    tail = (1 - level) / 2
-    return long.select(value.alias("v")).agg(F.count("v").alias("n_resamples"), F.percentile("v", F.lit(tail)).alias("lo"), F.percentile("v", F.lit(1 - tail)).alias("hi"))
+    """Interval of kappa over resampled clusters, each counted into len(order)² cells first: n_resamples, lo, hi."""
+    m = range(len(order))
+    cells = [f"n_{i}_{j}" for i in m for j in m]
+    units = pairs.filter(F.col(a).isin(*order) & F.col(b).isin(*order)).groupBy(F.col(cluster).alias("u")).agg(*[F.count(F.when((F.col(a) == order[i]) & (F.col(b) == order[j]), 1)).alias(f"n_{i}_{j}") for i in m for j in m])
+
+    def kappa(n: dict[str, Column]) -> Column:
+        add = lambda xs: sum(xs[1:], xs[0])
+        total = add(list(n.values()))
+        po = add([n[f"n_{i}_{i}"] for i in m]) / total
+        pe = add([add([n[f"n_{i}_{j}"] for j in m]) * add([n[f"n_{j}_{i}"] for j in m]) for i in m]) / (total * total)
+        return F.when(pe == 1.0, F.when(po == 1.0, 1.0).otherwise(0.0)).otherwise((po - pe) / F.nullif(1 - pe, F.lit(0.0)))
+
+    return bootstrap(units, "u", cells, kappa, resamples, seed, level)
 
 
 def rater_pairs(steps: DataFrame) -> DataFrame:

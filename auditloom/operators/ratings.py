@@ -22,6 +22,18 @@ def current_ratings(ratings: DataFrame) -> DataFrame:
     return newest.select("work_id", "rater_id", *[F.col("r")[c].alias(c) for c in rest])
 
 
+def graded_forms(ratings: DataFrame, *columns: str) -> DataFrame:
+    """The current forms with nothing but the steps' grades and the named ``columns``; evidence and rationales never reach the shuffle."""
+    grades = F.transform("steps", lambda s: F.struct(s["step_id"].alias("step_id"), s["applicable"].alias("applicable"), s["status"].alias("status"), s["confidence"].alias("confidence")))
+    return current_ratings(ratings.select("work_id", "rater_id", "rated_at", "rating_id", grades.alias("steps"), *columns))
+
+
+def graded_steps(forms: DataFrame) -> DataFrame:
+    """One row per step of the current forms: work_id, rater_id, step_id, applicable, status, confidence."""
+    s = F.col("s")
+    return forms.select("work_id", "rater_id", F.explode("steps").alias("s")).select("work_id", "rater_id", s["step_id"].alias("step_id"), s["applicable"].alias("applicable"), status_of(s["status"]).alias("status"), s["confidence"].alias("confidence"))
+
+
 def step_rows(current: DataFrame) -> DataFrame:
     """One row per rated step: work_id, rater_id, relationship, step_id, applicable, status, confidence, n_evidence, rationale, missing_subtag, evidence."""
     s = F.col("s")

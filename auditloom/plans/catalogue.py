@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditloom.plans import archive, detection, documents, records, validation
+from auditloom.plans import archive, detection, documents, engine, records, validation
 
-MODULES = (archive, detection, documents, records, validation)
+MODULES = (archive, detection, documents, engine, records, validation)
 
 
 def queries() -> dict:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.operators import agreement, assess, consensus, nested_json, ratings, scoring
+from auditloom.plans import records
+from auditloom.session import cut
 
 ORDER = ratings.STATUSES
 # The weights of the default rubric: some steps count half for some kinds of paper, all others fully.
@@ -21,10 +25,22 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
     return ratings.step_rows(_current(spark, d))
 
 
+def _forms(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current forms with the steps' grades and the named columns only."""
+    return ratings.graded_forms(spark.read.parquet(f"{d}/ratings.parquet"), *columns)
+
+
+def _grades(spark: SparkSession, d: str) -> DataFrame:
+    return ratings.graded_steps(_forms(spark, d))
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return _cells_of(_grades(spark, d))
+
+
+def _cells_of(s: DataFrame, agreed: DataFrame | None = None) -> DataFrame:
     """Consensus (a) against each rater (b) on the same step."""
-    s = _steps(spark, d)
-    c = consensus.consensus_steps(s).select("work_id", "step_id", F.col("status").alias("a"), F.col("applicable").alias("a_applies"))
+    c = (consensus.consensus_steps(s) if agreed is None else agreed).select("work_id", "step_id", F.col("status").alias("a"), F.col("applicable").alias("a_applies"))
     return s.filter(F.col("status").isNotNull()).join(c, ["work_id", "step_id"]).select("work_id", "step_id", "rater_id", "a", F.col("status").alias("b"), "a_applies", F.col("applicable").alias("b_applies"), "confidence")
 
 
@@ -37,7 +53,7 @@ def rating_steps_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rating_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _current(spark, d).groupBy("work_id").agg(F.count(F.lit(1)).alias("n_raters"))
+    return _forms(spark, d).groupBy("work_id").agg(F.count(F.lit(1)).alias("n_raters"))
 
 
 def step_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -45,22 +61,22 @@ def step_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def form_violations(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.form_violations(_current(spark, d))
+    return ratings.form_violations(_forms(spark, d, "relevance_label", "relevance_rationale", "paper_class_labels", "gate_facts"))
 
 
 def gold_admissibility(spark: SparkSession, d: str) -> DataFrame:
-    c = _current(spark, d)
+    c = _forms(spark, d, "relationship", "source_sha256", "relevance_label")
     return ratings.admissibility(c, consensus.consensus_relevance(c)).select("work_id", "n_raters", F.array_join("violations", "; ").alias("violations"))
 
 
 def incomplete_forms(spark: SparkSession, d: str) -> DataFrame:
     """Against the first nine steps, so that the tenth comes out as extra."""
-    out = ratings.incomplete_forms(_current(spark, d), list(scoring.STEPS[:9]))
+    out = ratings.incomplete_forms(_forms(spark, d), list(scoring.STEPS[:9]))
     return out.select("work_id", "rater_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
 def consensus_steps(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(consensus.consensus_steps(_steps(spark, d)), "confidence")
+    return _rounded(consensus.consensus_steps(_grades(spark, d)), "confidence")
 
 
 def consensus_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -69,20 +85,20 @@ def consensus_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consensus_labels(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus_labels(_current(spark, d))
+    return consensus.consensus_labels(_forms(spark, d, "paper_class_labels"))
 
 
 def consensus_gates(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus_gates(_current(spark, d))
+    return consensus.consensus_gates(_forms(spark, d, "gate_facts"))
 
 
 def consensus_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.consensus_relevance(_current(spark, d))
+    return consensus.consensus_relevance(_forms(spark, d, "relevance_label"))
 
 
 def no_consensus_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps of a work without a majority, in natural order."""
-    s = _steps(spark, d)
+    s = _grades(spark, d)
     left = s.filter(F.col("applicable").isNotNull()).select("work_id", "step_id").distinct().join(consensus.consensus_steps(s), ["work_id", "step_id"], "left_anti")
     ordered = left.groupBy("work_id").agg(F.array_sort(F.collect_set(consensus.step_order(F.col("step_id")))).alias("o"))
     return ordered.select("work_id", F.array_join(F.transform("o", lambda x: x["id"]), ",").alias("steps"))
@@ -103,13 +119,16 @@ def absence_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sens_spec_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    c = _current(spark, d)
+    return _relevance_rates(_forms(spark, d, "relevance_label"))
+
+
+def _relevance_rates(c: DataFrame) -> DataFrame:
     pairs = c.join(consensus.consensus_relevance(c).select("work_id", "relevance"), "work_id").select((F.col("relevance") != "no").alias("a"), (ratings.status_of(F.col("relevance_label")) != "no").alias("b"))
     return _rounded(agreement.binary_rates(pairs), "value")
 
 
 def class_set_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    c = _current(spark, d)
+    c = _forms(spark, d, "paper_class_labels")
     human = consensus.consensus_labels(c).groupBy("work_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("a"))
     pairs = c.select("work_id", F.array_join(F.array_sort(F.array_distinct("paper_class_labels")), "|").alias("b")).join(human, "work_id")
     return pairs.agg(F.count(F.when(F.col("a") == F.col("b"), 1)).alias("x"), F.count(F.lit(1)).alias("n")).withColumn("value", F.round(agreement.ratio(F.col("x"), F.col("n")), 9))
@@ -122,18 +141,21 @@ def wilson_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inter_rater_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.pair_cells(_steps(spark, d))
+    return agreement.pair_cells(_grades(spark, d))
 
 
 def bootstrap_kappa_ci(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.bootstrap_kappa(_cells(spark, d), "work_id", ORDER)
+    return _rounded(agreement.bootstrap_kappa(_cells(spark, d), "work_id", ORDER), "lo", "hi")
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
     """Each form as a document with weighted steps."""
-    c = _current(spark, d)
+    return _graded_of(spark, _forms(spark, d, "paper_class_labels"))
+
+
+def _graded_of(spark: SparkSession, c: DataFrame) -> DataFrame:
     doc = F.concat_ws("/", "work_id", "rater_id")
-    steps = ratings.step_rows(c).filter(F.col("status").isNotNull()).withColumn("doc", doc).select("doc", "work_id", "step_id", "applicable", "status", "confidence")
+    steps = ratings.graded_steps(c).filter(F.col("status").isNotNull()).withColumn("doc", doc).select("doc", "work_id", "step_id", "applicable", "status", "confidence")
     labels = c.select(doc.alias("doc"), F.explode("paper_class_labels").alias("label"))
     return scoring.step_weights(steps, labels, scoring.weight_table(spark, FULL_WEIGHTS))
 
@@ -152,9 +174,11 @@ def score_impacts(spark: SparkSession, d: str) -> DataFrame:
 
 def icc_scores(spark: SparkSession, d: str) -> DataFrame:
     """Coverage by the consensus against coverage by each rater."""
-    s = _steps(spark, d)
-    human = consensus.consensus_steps(s).select(F.col("work_id").alias("doc"), "step_id", "applicable", "status", "confidence", F.lit(1.0).alias("weight"))
-    mine = _graded(spark, d)
+    return _icc_of(consensus.consensus_steps(_grades(spark, d)), _graded(spark, d))
+
+
+def _icc_of(agreed: DataFrame, mine: DataFrame) -> DataFrame:
+    human = agreed.select(F.col("work_id").alias("doc"), "step_id", "applicable", "status", "confidence", F.lit(1.0).alias("weight"))
     both = scoring.coverage_quality(human).select(F.col("doc").alias("work_id"), F.col("strict").alias("a")).join(scoring.coverage_quality(mine, ["work_id", "doc"]).select("work_id", F.col("strict").alias("b")), "work_id")
     return _rounded(agreement.icc_a1(both), "icc")
 
@@ -169,7 +193,7 @@ def refutation_upgrade(spark: SparkSession, d: str) -> DataFrame:
 def override_rescore(spark: SparkSession, d: str) -> DataFrame:
     """Coverage and quality after each form is moved one level toward the consensus."""
     g = _graded(spark, d)
-    target = consensus.consensus_steps(_steps(spark, d)).select("work_id", "step_id", F.col("status").alias("target"))
+    target = consensus.consensus_steps(_grades(spark, d)).select("work_id", "step_id", F.col("status").alias("target"))
     fixes = g.select("doc", "work_id", "step_id").join(target, ["work_id", "step_id"]).select("doc", "step_id", "target")
     done = scoring.apply_corrections(g, fixes).withColumn("status", F.col("corrected"))
     return _rounded(scoring.coverage_quality(done).select("doc", "present", "strict", "quality"), "strict", "quality")
@@ -182,23 +206,26 @@ def fix_list(spark: SparkSession, d: str) -> DataFrame:
     graded = steps.groupBy(F.col("record_id").alias("doc"), "step_id").agg(F.max_by(F.struct("applicable", "status"), "step_pos").alias("x"), F.min("step_pos").alias("step_pos"))
     graded = graded.select("doc", "step_id", (F.col("x.applicable") == "true").alias("applicable"), F.col("x.status").alias("status"), F.when(F.col("step_id").isin("S3", "S5", "S8"), 0.5).otherwise(1.0).alias("weight"))
     asked = nested_json.table_of(flat, "suggestion").join(steps.select("record_id", "step_pos", "step_id"), ["record_id", "step_pos"])
-    asked = asked.select(F.col("record_id").alias("doc"), "step_id", (F.col("step_pos") * 1000 + F.col("child_pos")).alias("pos"), "severity", "text", "ease")
+    asked = asked.select(F.col("record_id").alias("doc"), "step_id", F.struct("step_pos", "child_pos").alias("pos"), "severity", "text", "ease")
     out = scoring.fix_list(asked, graded, scoring.score_impacts(graded))
     return _rounded(out.select("doc", "fix_rank", "step_id", "severity", "ease", "weight", "text", "coverage_delta", "quality_delta"), "coverage_delta", "quality_delta")
 
 
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    """The headline figures as rows: metric, value, n."""
-    cells = _cells(spark, d)
+    """The headline figures of raters against their consensus as rows: metric, value, n. Forms, grades and consensus are computed once."""
+    forms = cut(_forms(spark, d, "relevance_label", "paper_class_labels"))
+    grades = ratings.graded_steps(forms)
+    agreed = cut(consensus.consensus_steps(grades))
+    cells = cut(_cells_of(grades, agreed).select("a", "b", "a_applies", "b_applies"))
     k = agreement.kappa_summary(cells.filter("a_applies AND b_applies"), ORDER)
     stats = k.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col("n").alias("n")) for m in ("agreement", "kappa", "kappa_linear", "ac1")])).alias("x")).select("x.*")
-    rates = agreement.absence_rates(cells).select(F.col("rate").alias("metric"), "value", "n").unionByName(sens_spec_accuracy(spark, d).select(F.concat(F.lit("relevance_"), "rate").alias("metric"), "value", "n"))
-    icc = icc_scores(spark, d).select(F.lit("coverage_icc").alias("metric"), F.col("icc").alias("value"), "n")
+    rates = agreement.absence_rates(cells).select(F.col("rate").alias("metric"), "value", "n").unionByName(_relevance_rates(forms).select(F.concat(F.lit("relevance_"), "rate").alias("metric"), "value", "n"))
+    icc = _icc_of(agreed, _graded_of(spark, forms)).select(F.lit("coverage_icc").alias("metric"), F.col("icc").alias("value"), "n")
     return _rounded(stats.unionByName(rates).unionByName(icc), "value").withColumn("preliminary", F.col("n") < 15)
 
 
 def rater_relationships(spark: SparkSession, d: str) -> DataFrame:
-    return _current(spark, d).groupBy("relationship").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rater_id").alias("n_raters"))
+    return _forms(spark, d, "relationship").groupBy("relationship").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rater_id").alias("n_raters"))
 
 
 def batch_reconcile(spark: SparkSession, d: str) -> DataFrame:
@@ -237,7 +264,16 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+def sql_parts() -> dict[str, str]:
+    """Common table expressions of this module's SQL that other modules use too."""
+    return {k: v for k, v in _sql()[0].items() if isinstance(v, str)}
+
+
 def oracle_sql() -> dict[str, str]:
+    return _sql()[1]
+
+
+def _sql() -> tuple[dict, dict[str, str]]:
     status = lambda c: f"CASE WHEN regexp_replace(trim(lower({c})), '[\\s-]+', '_', 'g') IN ('n/a', 'na') THEN 'not_applicable' ELSE nullif(regexp_replace(trim(lower({c})), '[\\s-]+', '_', 'g'), '') END"
     cur = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id, rater_id ORDER BY rated_at DESC NULLS LAST, rating_id DESC) AS rn FROM (SELECT DISTINCT * FROM ratings)) WHERE rn = 1)"
     steps = f"steps AS (SELECT work_id, rater_id, relationship, paper_class_labels, s.step_id AS step_id, s.applicable AS applicable, {status('s.status')} AS status, s.confidence AS confidence, coalesce(len(s.evidence), 0) AS n_evidence, s.rationale AS rationale, s.missing_subtag AS missing_subtag, s.evidence AS evidence FROM (SELECT *, unnest(steps) AS s FROM cur))"
@@ -277,7 +313,29 @@ def oracle_sql() -> dict[str, str]:
     gates = ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM (SELECT count(*) AS c, sum(count(*)) OVER () AS t FROM cur x WHERE x.work_id = w.work_id AND gate_facts IS NOT NULL GROUP BY gate_facts.{f}) WHERE c * 2 > t) THEN {gate(f)} ELSE (SELECT gate_facts.{f}::VARCHAR FROM cur x WHERE x.work_id = w.work_id AND gate_facts IS NOT NULL ORDER BY rater_id LIMIT 1) END AS {f}" for f in ("inference_method", "n_models", "bf_claimed", "prior_informativeness"))
     head, full = f"WITH {cur}, {steps}", f"WITH {cur}, {steps}, {cons}, {cells}"
     toward = "CASE WHEN g.applicable AND c.status IS NOT NULL AND c.status <> 'not_applicable' AND g.status <> 'not_applicable' THEN CASE WHEN array_position(o, c.status) > array_position(o, g.status) THEN o[array_position(o, g.status) + 1] WHEN array_position(o, c.status) < array_position(o, g.status) THEN o[array_position(o, g.status) - 1] ELSE g.status END ELSE g.status END"
-    return {
+    order = lambda c, xs: "CASE " + c + " " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(xs)) + f" ELSE {len(xs)} END"
+    field = lambda path: f"CASE WHEN json_type(x, '$.{path}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN x ->> '$.{path}' END"
+    scored = f"""{records._nodes()}, js AS (SELECT record_id AS doc, step_pos, {field('step_id')} AS step_id, ({field('applicable')}) = 'true' AS applicable, {field('status')} AS status FROM step WHERE rating_pos = -1),
+        own AS (SELECT doc, step_id, arg_max(applicable, step_pos) AS applicable, arg_max(status, step_pos) AS status, CASE WHEN step_id IN ('S3', 'S5', 'S8') THEN 0.5 ELSE 1.0 END AS weight FROM js WHERE step_id IS NOT NULL AND status IS NOT NULL GROUP BY doc, step_id)"""
+    poisson, below, p_j = [], 0.0, math.exp(-1)
+    for j in range(12):
+        below += p_j
+        p_j /= j + 1
+        poisson.append(f"(u >= {below!r})::INT")
+    return locals(), {
+        "bootstrap_kappa_ci": f"""{full}, codes AS (SELECT * FROM (VALUES ('missing', 0), ('partial', 1), ('adequate', 2)) v(s, i)), used AS (SELECT work_id, x.i AS i, y.i AS j, count(*) AS n FROM cells JOIN codes x ON x.s = a JOIN codes y ON y.s = b GROUP BY ALL),
+            draws AS (SELECT work_id, k, {' + '.join(poisson)} AS t FROM (SELECT work_id, k, ('0x' || substr(md5('0|' || k || '|' || work_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM (SELECT DISTINCT work_id FROM used) CROSS JOIN range(200) r(k))),
+            sums AS (SELECT k, i, j, sum(n * t)::DOUBLE AS n FROM used JOIN draws USING (work_id) GROUP BY ALL), tot AS (SELECT k, sum(n) AS n, sum(n) FILTER (i = j) AS o FROM sums GROUP BY 1),
+            ex AS (SELECT r.k, sum(r.n * c.n) AS e FROM (SELECT k, i, sum(n) AS n FROM sums GROUP BY ALL) r JOIN (SELECT k, j, sum(n) AS n FROM sums GROUP BY ALL) c ON r.k = c.k AND r.i = c.j GROUP BY 1),
+            v AS (SELECT (o / n - e / (n * n)) / (1 - e / (n * n)) AS v FROM tot JOIN ex USING (k)) SELECT count(v) AS n_resamples, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM v""",
+        "batch_reconcile": f"""WITH {scored}, seen AS (SELECT doc, step_id, count(*) AS n FROM js WHERE step_id IS NOT NULL GROUP BY ALL), docs AS (SELECT DISTINCT doc FROM seen), ask AS (SELECT doc, unnest([{', '.join(repr(x) for x in scoring.STEPS)}]) AS step_id FROM docs)
+            SELECT step_id, CASE WHEN n IS NULL THEN 'missing' WHEN NOT wanted THEN 'extra' WHEN n > 1 THEN 'repeated' ELSE 'ok' END AS state, count(*) AS n FROM (SELECT coalesce(a.step_id, s.step_id) AS step_id, s.n, a.doc IS NOT NULL AS wanted FROM ask a FULL JOIN seen s ON a.doc = s.doc AND a.step_id = s.step_id) GROUP BY ALL""",
+        "fix_list": f"""WITH {scored}, t AS (SELECT doc, count(*) FILTER (applicable) AS n, count(*) FILTER (applicable AND status IN ('adequate', 'partial')) AS p, sum(weight) FILTER (applicable)::DOUBLE AS sw, sum(weight * {sub()}) FILTER (applicable)::DOUBLE AS sq FROM own GROUP BY 1),
+            imp AS (SELECT doc, step_id, (p + (status = 'missing')::INT) / n::DOUBLE - p / n::DOUBLE AS cd, (sq + weight::DOUBLE * (1 - {sub()})) / sw - sq / sw AS qd FROM own JOIN t USING (doc) WHERE applicable AND status IN ('partial', 'missing') AND sw <> 0),
+            asked AS (SELECT record_id AS doc, step_pos, child_pos, {field('severity')} AS severity, {field('text')} AS text, {field('ease')} AS ease FROM suggestion WHERE rating_pos = -1)
+            SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY {order('severity', scoring.SEVERITY)}, weight DESC, {order('ease', scoring.EASE)}, step_id, step_pos, child_pos)::INT AS fix_rank, step_id, severity, ease, weight, text, round(coverage_delta, 9) AS coverage_delta, round(quality_delta, 9) AS quality_delta
+            FROM (SELECT a.doc, j.step_id, a.step_pos, child_pos, severity, ease, text, coalesce(o.weight, 1.0)::DOUBLE AS weight, coalesce(cd, 0) AS coverage_delta, coalesce(qd, 0) AS quality_delta FROM asked a JOIN js j ON a.doc = j.doc AND a.step_pos = j.step_pos AND j.step_id IS NOT NULL AND j.status IS NOT NULL
+            LEFT JOIN own o ON o.doc = a.doc AND o.step_id = j.step_id LEFT JOIN imp i ON i.doc = a.doc AND i.step_id = j.step_id)""",
         "rating_steps_current": f"{head} SELECT step_id, status, applicable, count(*) AS n, sum(n_evidence)::BIGINT AS n_evidence FROM steps GROUP BY ALL",
         "rating_counts": f"WITH {cur} SELECT work_id, count(*) AS n_raters FROM cur GROUP BY 1",
         "step_violations": f"""{head} SELECT violation, count(*) AS n FROM (SELECT 'applicable but not_applicable' AS violation FROM steps WHERE status = 'not_applicable' AND applicable UNION ALL SELECT 'not applicable but graded' FROM steps WHERE status <> 'not_applicable' AND NOT applicable
