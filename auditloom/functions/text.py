@@ -113,7 +113,12 @@ def content_words(normalized: Column) -> Column:
 
 def quote_in_text(quote: Column, text: Column) -> Column:
     """Whether a quote is grounded in a text: contained after normalization, or at least six content words of which 80 % of the different ones stand in the text."""
-    q, t = match_text(quote), match_text(text)
+    return quote_in_plain(quote, match_text(text))
+
+
+def quote_in_plain(quote: Column, t: Column) -> Column:
+    """quote_in_text() for a text that went through match_text() already."""
+    q = match_text(quote)
     words = content_words(q)
     distinct = F.array_distinct(words)
     share = F.size(F.filter(distinct, lambda w: F.contains(t, w))) / F.nullif(F.size(distinct), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import quote_in_text, squeeze
+from auditloom.functions.text import match_text, quote_in_plain, squeeze
+from auditloom.operators.skew import skew_join
 
 # Which family each kind of evidence speaks for; open science speaks for none.
 FAMILY_OF_KIND = {"software_mention": "software", "method_mention": "method", "diagnostic_value": "diagnostic", "diagnostic_mention": "diagnostic", "workflow_signal": "workflow", "sampler_config": "sampler"}
@@ -71,14 +72,22 @@ def ground_quotes(quotes: DataFrame, sections: DataFrame, keys: list[str]) -> Da
 
     ``quotes``: keys, quote; ``sections``: keys, text. A quote without section is neither.
     """
-    j = quotes.join(sections.select(*keys, "text"), keys, "left")
-    return j.withColumn("verbatim", F.coalesce(F.contains("text", "quote"), F.lit(False))).withColumn("grounded", quote_in_text(F.col("quote"), F.col("text"))).drop("text")
+    # each section is normalised once, before it meets its quotes; a section with a large share of them is salted
+    texts = sections.select(*keys, "text", match_text(F.col("text")).alias("_plain"))
+    j = skew_join(quotes, texts, keys, "left")
+    return j.withColumn("verbatim", F.coalesce(F.contains("text", "quote"), F.lit(False))).withColumn("grounded", quote_in_plain(F.col("quote"), F.col("_plain"))).drop("text", "_plain")
 
 
-def first_section_with(quotes: DataFrame, sections: DataFrame, key: str = "doc_key") -> DataFrame:
-    """For each quote (key, quote_id, quote) the first section of its document that contains it: key, quote_id, section_pos; quotes found nowhere give no row."""
-    j = quotes.filter(F.trim("quote") != "").join(sections.select(key, "section_pos", "text"), key).filter(F.contains("text", F.trim(F.col("quote"))))
-    return j.groupBy(key, "quote_id").agg(F.min("section_pos").alias("section_pos"))
+def first_section_with(quotes: DataFrame, documents: DataFrame, key: str = "doc_key") -> DataFrame:
+    """For each quote (key, quote_id, quote) the first section of its document that contains it: key, quote_id, section_pos; quotes found nowhere give no row.
+
+    ``documents``: key and the array ``sections``; a quote looks through its document's row, so no section is joined by
+    itself. Of several rows of a document the first place counts.
+    """
+    asked = quotes.filter(F.trim("quote") != "").select(key, "quote_id", F.trim("quote").alias("_quote"))
+    j = skew_join(asked, documents.select(key, F.transform("sections", lambda s: s["text"]).alias("_texts")), [key])
+    at = F.array_position(F.transform("_texts", lambda t: F.contains(t, F.col("_quote"))), F.lit(True))
+    return j.select(key, "quote_id", at.alias("at")).filter("at > 0").groupBy(key, "quote_id").agg((F.min("at") - 1).cast("int").alias("section_pos"))
 
 
 def facts_with_evidence(facts: DataFrame, evidence: DataFrame, key: str = "doc_key") -> DataFrame:

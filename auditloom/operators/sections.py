@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # How headings and captions begin.
@@ -12,37 +16,64 @@ ABSTRACT = r"(?i)^\s*abstract\s*$"
 APPENDIX = r"(?i)^\s*(appendix|supplementary|supporting information)\b"
 
 
-def is_heading(line: Column) -> Column:
-    """A marked heading (#), or one of the known ones on a line of its own."""
-    return line.rlike(r"^#{1,6}\s") | line.rlike(REFERENCES) | line.rlike(ABSTRACT) | (line.rlike(APPENDIX) & (F.length(line) <= 60))
+_CAPTION, _REFERENCES, _ABSTRACT, _APPENDIX = (re.compile(p, re.ASCII) for p in (CAPTION, REFERENCES, ABSTRACT, APPENDIX))
+_MARKED, _MARK = re.compile(r"#{1,6}\s", re.ASCII), re.compile(r"^#{1,6}\s+", re.ASCII)
+
+
+def typed_lines(text: str) -> Iterator[tuple[str, bool, bool, int, str]]:
+    """(line, is_caption, heading, section_no, kind) of every line of a text; one pass, whatever its length."""
+    number, last, open_state = 0, None, None
+    for line in text.split("\n"):
+        caption = bool(_CAPTION.search(line))
+        known = _REFERENCES.search(line) or _ABSTRACT.search(line) or (len(line) <= 60 and _APPENDIX.search(line))
+        heading = not caption and bool(known or _MARKED.match(line))
+        if heading:
+            title = _MARK.sub("", line)
+            last = next((kind for kind, p in (("references", _REFERENCES), ("supplement", _APPENDIX), ("abstract", _ABSTRACT)) if p.search(title)), "plain")
+            open_state = open_state if last == "plain" else last
+            number += 1
+        # a plain heading is body, unless the references are still open
+        within = "references" if last == "plain" and open_state == "references" else "body" if last in (None, "plain") else last
+        yield line, caption, heading, number, "caption" if caption else within
+
+
+def _per_text(docs: DataFrame, key: str, text: str, columns: str, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The rows that ``rows_of`` makes of each text, with its key; in Arrow batches, without a shuffle."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame([(k, *row) for k, t in zip(part["k"], part["t"]) for row in rows_of(t)], columns=["k", *names])
+
+    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
+    return slim.mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, {columns}").withColumnRenamed("k", key)
 
 
 def section_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line_no, line, is_caption, section_no, kind of every line.
+    """key, line_no, line, is_caption, heading, section_no, kind of every line.
 
     A caption is a section of its own; the section around it goes on after it. Once in the references, plain headings stay
-    references until an appendix or abstract. Lines before the first heading form section 0 (body).
+    references until an appendix or abstract. Lines before the first heading form section 0 (body). Null texts give no row.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("is_caption", F.col("line").rlike(CAPTION)).withColumn("heading", ~F.col("is_caption") & is_heading(F.col("line")))
-    title = F.regexp_replace("line", r"^#{1,6}\s+", "")
-    own = F.when(~F.col("heading"), None).when(title.rlike(REFERENCES), "references").when(title.rlike(APPENDIX), "supplement").when(title.rlike(ABSTRACT), "abstract").otherwise("plain")
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("own", own).withColumn("state", F.last(F.when(F.col("own") != "plain", F.col("own")), ignorenulls=True).over(so_far))
-    lines = lines.withColumn("section_no", F.sum(F.col("heading").cast("int")).over(so_far)).withColumn("last", F.last("own", ignorenulls=True).over(so_far))
-    # a plain heading is body, unless the references are still open
-    kind = F.when(F.col("is_caption"), "caption").when(F.col("last").isNull(), "body").when(F.col("last") != "plain", F.col("last")).when(F.col("state") == "references", "references").otherwise("body")
-    return lines.select(key, "line_no", "line", "is_caption", "heading", "section_no", kind.alias("kind"))
+    return _per_text(docs, key, text, "line_no int, line string, is_caption boolean, heading boolean, section_no long, kind string", lambda t: ((i, *x) for i, x in enumerate(typed_lines(t))))
+
+
+def _sections(text: str) -> Iterator[tuple[int, str, str, str, str]]:
+    parts: dict[tuple[int, int], dict] = {}  # in the order of their first lines
+    for i, (line, caption, heading, number, kind) in enumerate(typed_lines(text)):
+        part = parts.setdefault((number, i if caption else -1), {"kind": kind, "title": "", "lines": []})
+        if heading:
+            part["title"] = _MARK.sub("", line)
+        else:
+            part["lines"].append(line)
+    filled = [(p, body) for p in parts.values() if (body := "\n".join(p["lines"]).strip(" "))]
+    for n, (p, body) in enumerate(filled):
+        yield n, f"s{n + 1:02d}", p["kind"], p["title"], body
 
 
 def split_sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, section_pos, section_id, kind, title, text: the non-empty sections in order, numbered s01, s02 ..."""
-    lines = section_lines(docs, key, text).withColumn("part", F.when(F.col("is_caption"), F.col("line_no")).otherwise(-1))
-    body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line")))), lambda x: x["line"])
-    secs = lines.groupBy(key, "section_no", "part").agg(F.min("line_no").alias("first"), F.first("kind").alias("kind"), F.max(F.when(F.col("heading"), F.regexp_replace("line", r"^#{1,6}\s+", ""))).alias("title"), F.trim(F.array_join(body, "\n")).alias("text"))
-    filled = secs.filter(F.length("text") > 0)
-    n = F.row_number().over(Window.partitionBy(key).orderBy("first", "part"))
-    return filled.withColumn("section_pos", n - 1).select(key, "section_pos", F.concat(F.lit("s"), F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))).alias("section_id"), "kind", F.coalesce("title", F.lit("")).alias("title"), "text")
+    """key, section_pos, section_id, kind, title, text: the non-empty sections in order, numbered s01, s02 ...; repeated rows give theirs again."""
+    return _per_text(docs, key, text, "section_pos int, section_id string, kind string, title string, text string", _sections)
 
 
 def merge_supplements(primary: DataFrame, supplements: DataFrame, key: str) -> DataFrame:

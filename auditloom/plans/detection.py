@@ -13,8 +13,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of all documents; repeated documents count once."""
-    return detect.run_detectors(_docs(spark, d)).dropDuplicates(["doc_key", "evidence_ref"])
+    """Evidence of all documents; of repeated documents one row is taken whole, before anything is detected."""
+    return detect.run_detectors(_docs(spark, d).select("doc_key", "sections").dropDuplicates(["doc_key"]))
 
 
 def detect_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
@@ -55,13 +55,25 @@ def tag_normalize(spark: SparkSession, d: str) -> DataFrame:
     return s.select("case_key", F.array_join(tx.distinct_ignoring_case(F.array_compact("expect_software")), "|").alias("software"), F.array_join(tx.tags(F.col("expect_labels"), underscores=True), "|").alias("labels"))
 
 
+def _full_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts to split: the documents, and the parsed papers put together again with the headings and captions of their sections (doc_id -1 - doc_key)."""
+
+    def part(s: Column) -> Column:
+        title, text = F.coalesce(s["title"], F.lit("")), F.coalesce(s["text"], F.lit(""))
+        head = F.when(s["kind"] == "caption", F.concat(title, F.lit(". "))).when(s["kind"] == "body", F.concat(F.lit("# "), title, F.lit("\n"))).when(s["kind"] == "supplement", F.lit("Supplementary information\n"))
+        return F.concat(F.coalesce(head, F.concat(title, F.lit("\n"))), text)
+
+    papers = _t(spark, d, "parsed_docs").dropDuplicates(["doc_key"]).select((-1 - F.col("doc_key")).alias("doc_id"), F.array_join(F.transform("sections", part), "\n").alias("text"))
+    return _t(spark, d, "documents").select("doc_id", "text").unionByName(papers)
+
+
 def section_split(spark: SparkSession, d: str) -> DataFrame:
-    s = sections.split_sections(_t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    s = sections.split_sections(_full_texts(spark, d), "doc_id")
     return s.select("doc_id", "section_id", "kind", "title", F.length("text").alias("n_chars"))
 
 
 def section_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return sections.section_lines(_t(spark, d, "documents").select("doc_id", "text"), "doc_id").groupBy("kind", "is_caption").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+    return sections.section_lines(_full_texts(spark, d), "doc_id").groupBy("kind", "is_caption").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -80,14 +92,13 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
-    secs = detect.sections_of(_t(spark, d, "parsed_docs")).select("doc_key", "section_id", "text").distinct()
+    secs = detect.sections_of(_t(spark, d, "parsed_docs")).select("doc_key", "section_id", "text")
     g = screen.ground_quotes(_evidence(spark, d).select("evidence_id", "doc_key", "section_id", "quote"), secs, ["doc_key", "section_id"])
     return g.groupBy("evidence_id").agg(F.max("verbatim").alias("verbatim"), F.max("grounded").alias("grounded"))
 
 
 def quote_first_section(spark: SparkSession, d: str) -> DataFrame:
-    secs = detect.sections_of(_t(spark, d, "parsed_docs")).select("doc_key", "section_pos", "text").distinct()
-    return screen.first_section_with(_evidence(spark, d).select("doc_key", F.col("evidence_id").alias("quote_id"), "quote"), secs)
+    return screen.first_section_with(_evidence(spark, d).select("doc_key", F.col("evidence_id").alias("quote_id"), "quote"), _t(spark, d, "parsed_docs"))
 
 
 def unique_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +173,8 @@ def oracle_sql() -> dict[str, str]:
     budget = lambda kinds, n, order: f"""SELECT doc_key, string_agg(CASE WHEN before + len > {n} THEN substr(block, 1, ({n} - before)::INT) ELSE block END, chr(10) || chr(10) ORDER BY {order}) AS txt FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY doc_key ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
         (SELECT doc_key, section_pos, kind, '## ' || coalesce(nullif(title, ''), kind) || chr(10) || text AS block, length('## ' || coalesce(nullif(title, ''), kind) || chr(10) || text) AS len FROM sec WHERE length(text) > 0 AND kind IN ({kinds}))) WHERE before < {n} GROUP BY doc_key"""
     captions, refs, abst, app = (q(p) for p in (sections.CAPTION, sections.REFERENCES, sections.ABSTRACT, sections.APPENDIX))
-    lines = f"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    lines = f"""full_texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_key, string_agg(CASE kind WHEN 'caption' THEN coalesce(title, '') || '. ' WHEN 'body' THEN '# ' || coalesce(title, '') || chr(10) WHEN 'supplement' THEN 'Supplementary information' || chr(10) ELSE coalesce(title, '') || chr(10) END || coalesce(text, ''), chr(10) ORDER BY section_pos) FROM sec GROUP BY doc_key),
+        l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM full_texts),
         l1 AS (SELECT *, regexp_matches(line, {captions}) AS is_caption FROM l0),
         l2 AS (SELECT *, NOT is_caption AND (regexp_matches(line, '^#{{1,6}}\\s') OR regexp_matches(line, {refs}) OR regexp_matches(line, {abst}) OR (regexp_matches(line, {app}) AND length(line) <= 60)) AS heading, regexp_replace(line, '^#{{1,6}}\\s+', '') AS bare FROM l1),
         l3 AS (SELECT *, CASE WHEN NOT heading THEN NULL WHEN regexp_matches(bare, {refs}) THEN 'references' WHEN regexp_matches(bare, {app}) THEN 'supplement' WHEN regexp_matches(bare, {abst}) THEN 'abstract' ELSE 'plain' END AS own FROM l2),
@@ -184,8 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "bucket_keys": "WITH a AS (SELECT DISTINCT source_sha256, paper_id, rubric_profile FROM archived_papers), b AS (SELECT *, regexp_replace(coalesce(nullif(source_sha256, ''), paper_id, ''), '[^\\p{L}\\p{N}_-]', '_', 'g') AS x, regexp_replace(coalesce(rubric_profile, ''), '[^\\p{L}\\p{N}_-]', '_', 'g') AS y FROM a) SELECT paper_id, rubric_profile, source_sha256, CASE WHEN x = '' THEN '_' ELSE x END || '__' || CASE WHEN y = '' THEN '_' ELSE y END AS bucket, substr(sha256(coalesce(paper_id, '')), 1, 12) AS short FROM b",
         "content_hash_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "tag_normalize": "WITH s AS (SELECT DISTINCT case_key, expect_software, expect_labels FROM screen_cases) SELECT case_key, array_to_string(list_transform(list_filter(list_transform(v, lambda x, i: {'x': x, 'keep': list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i}), lambda z: z.keep), lambda z: z.x), '|') AS software, coalesce(array_to_string(list_transform(list_filter(w, lambda x: x <> ''), lambda x: x), '|'), NULL) AS labels FROM (SELECT case_key, coalesce(list_filter(expect_software, lambda x: x IS NOT NULL), []) AS v, list_transform(list_filter(expect_labels, lambda x: x IS NOT NULL), lambda x: replace(replace(lower(trim(x)), '_', '-'), ' ', '-')) AS w FROM s)",
-        "section_split": f"WITH {lines}, secs AS (SELECT doc_id, section_no, CASE WHEN is_caption THEN line_no ELSE -1 END AS part, min(line_no) AS first, any_value(kind) AS kind, max(CASE WHEN heading THEN bare END) AS title, trim(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT heading), ' ') AS text FROM lines GROUP BY 1, 2, 3), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, part) AS n FROM secs WHERE length(text) > 0) SELECT doc_id, 's' || CASE WHEN n < 10 THEN '0' || n ELSE n::VARCHAR END AS section_id, kind, coalesce(title, '') AS title, length(text) AS n_chars FROM f",
-        "section_kinds": f"WITH {lines} SELECT kind, is_caption, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY ALL",
+        "section_split": f"WITH {sec}, {lines}, secs AS (SELECT doc_id, section_no, CASE WHEN is_caption THEN line_no ELSE -1 END AS part, min(line_no) AS first, any_value(kind) AS kind, max(CASE WHEN heading THEN bare END) AS title, trim(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT heading), ' ') AS text FROM lines GROUP BY 1, 2, 3), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, part) AS n FROM secs WHERE length(text) > 0) SELECT doc_id, 's' || CASE WHEN n < 10 THEN '0' || n ELSE n::VARCHAR END AS section_id, kind, coalesce(title, '') AS title, length(text) AS n_chars FROM f",
+        "section_kinds": f"WITH {sec}, {lines} SELECT kind, is_caption, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines GROUP BY ALL",
         "context_budget": f"""WITH {sec}, d AS (SELECT DISTINCT doc_key FROM parsed_docs), e AS ({budget("'abstract', 'body', 'caption'", 1200, "CASE kind WHEN 'abstract' THEN 0 WHEN 'body' THEN 1 ELSE 2 END, section_pos")}), a AS ({budget("'abstract', 'body', 'caption', 'supplement'", 2500, "section_pos")})
             SELECT doc_key, length(coalesce(e.txt, '(no extractable text)')) AS n_excerpt, md5(coalesce(e.txt, '(no extractable text)')) AS excerpt_md5, length(coalesce(a.txt, '(no extractable text)')) AS n_assessment, md5(coalesce(a.txt, '(no extractable text)')) AS assessment_md5 FROM d LEFT JOIN e USING (doc_key) LEFT JOIN a USING (doc_key)""",
         "evidence_digest": f"WITH {ev}, l AS (SELECT doc_key, evidence_ref, '[' || evidence_ref || '] ' || detector_id || ' · ' || kind || ': \"' || coalesce(quote, '') || '\"' AS line FROM ev), g AS (SELECT doc_key, string_agg(line, chr(10) ORDER BY evidence_ref, line) AS digest FROM l GROUP BY 1) SELECT doc_key, length(digest) AS n_chars, md5(digest) AS digest_md5 FROM g",
