@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +76,8 @@ def job_event_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def job_fallback_state(spark: SparkSession, d: str) -> DataFrame:
     """The state of a job: its last purchase, else signup, else any event."""
-    e = _t(spark, d, "events")
-    last = lambda kind: e.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.max("event_id").cast("string").alias(kind))
-    j = e.groupBy("user_id").agg(F.max("event_id").cast("string").alias("any")).join(last("purchase"), "user_id", "left").join(last("signup"), "user_id", "left")
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("event_id"))).cast("string").alias(kind)
+    j = _t(spark, d, "events").groupBy("user_id").agg(F.max("event_id").cast("string").alias("any"), last("purchase"), last("signup"))
     s = archive.first_of(("purchase", F.col("purchase")), ("signup", F.col("signup")), ("any", F.col("any")))
     return j.select("user_id", s["origin"].alias("origin"), s["value"].alias("value"))
 
@@ -102,52 +103,57 @@ def version_parts(spark: SparkSession, d: str) -> DataFrame:
     return v.select("engine_version", F.size(parts(F.concat(F.lit("pkg="), "engine_version", F.lit(";models=a=b")))).alias("n"), parts(F.concat(F.lit("pkg="), "engine_version", F.lit(";models=a=b")))["models"].alias("models"))
 
 
-FACTS = (
-    (1, "develops_new_bayesian_model", "yes", "high", "We propose a new hierarchical model of reaction times."),
-    (1, "uses_bayesian_model_on_real_data", "yes", "high", "fitted to observed data from 40 participants"),
-    (1, "uses_mcmc", "yes", "high", "We sampled the posterior with four chains in Stan."),
-    (2, "is_review_tutorial_or_commentary", "yes", "high", "This tutorial reviews prior choice."),
-    (2, "uses_mcmc", "yes", "high", "MCMC has a long history."),
-    (3, "develops_new_bayesian_method", "yes", "high", "We introduce a new sampler algorithm."),
-    (3, "investigates_theoretical_behavior", "yes", "high", "Theorem 1 gives posterior contraction."),
-    (3, "is_review_tutorial_or_commentary", "yes", "high", "a short review of samplers"),
-    (4, "uses_bayesian_model_on_real_data", "yes", "low", "some data"),
-    (5, "develops_new_bayesian_model", "yes", "high", "We develop a weakly-informative prior for variance parameters."),
-)
-CONTEXTS = (
-    (1, "We propose a new hierarchical model of reaction times. It was fitted to observed data from 40 participants. We sampled the posterior with four chains in Stan."),
-    (2, "This tutorial reviews prior choice. MCMC has a long history."),
-    (3, "We introduce a new sampler algorithm. Theorem 1 gives posterior contraction. First a short review of samplers."),
-    (4, "Nothing that matches."),
-    (5, "We develop a weakly-informative prior for variance parameters."),
-)
-SOFTWARE = ((1, 0, "Stan", "high", "We sampled the posterior with four chains in Stan."), (1, 1, "Python", "high", "in Python"), (3, 0, "custom code", "high", "We introduce a new sampler algorithm."), (3, 1, "julia", "high", "x"))
-
-
-def _facts(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    facts = spark.createDataFrame(FACTS, "doc int, fact_name string, answer string, confidence string, evidence string")
-    return facts, spark.createDataFrame(CONTEXTS, "doc int, context string"), spark.createDataFrame(SOFTWARE, "doc int, pos int, name string, confidence string, evidence string")
+# The facts that a reader's answers would give: of each kind the document's first evidence with one of the detectors.
+FACT_OF_DETECTOR = {
+    "method.prior": "develops_new_bayesian_model", "workflow.prior_predictive": "develops_new_bayesian_method", "open.code": "develops_new_bayesian_software", "open.data": "uses_bayesian_model_on_real_data", "workflow.recovery": "runs_numerical_or_simulation_study",
+    "method.posterior": "investigates_theoretical_behavior", "workflow.sensitivity": "is_review_tutorial_or_commentary",
+} | {classify.METHOD_DETECTOR[m]: f for f, m in classify.METHOD_OF_FACT.items() if m in classify.METHOD_DETECTOR}
+
+
+# The recorded detector says only that some software was named, so the answers name these in turn.
+TOOLS = ("Stan", "pymc3", "Python", "brms", "in-house tool", "sbi", "Turing.jl")
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """facts, contexts, software facts and evidence of the parsed documents, from their recorded evidence and section texts.
+
+    The answers quote the evidence in sentences of their own ("We fitted it with ..."); those with an even number also stand
+    in the document, so that some are grounded and some aren't.
+    """
+    e = _t(spark, d, "evidence").dropDuplicates(["evidence_id"]).select(F.col("doc_key").alias("doc"), "evidence_ref", "evidence_id", "detector_id", F.col("span.quote").alias("quote"), F.when(F.col("span.page").isNull(), "low").otherwise("high").alias("confidence"))
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.min(F.struct("evidence_ref", "evidence_id", "quote", "confidence")).alias("x"))
+    facts = first(e.withColumn("fact_name", classify.lookup(F.col("detector_id"), FACT_OF_DETECTOR)).filter("fact_name IS NOT NULL"), "doc", "fact_name")
+    said = F.when(F.col("fact_name").startswith("uses_") & (F.col("fact_name") != "uses_bayesian_model_on_real_data"), F.concat(F.lit("We estimated it so: "), "x.quote")).otherwise(F.col("x.quote"))
+    facts = facts.select("doc", "fact_name", F.lit("yes").alias("answer"), F.col("x.confidence").alias("confidence"), said.alias("evidence"), (F.col("x.evidence_ref") % 2 == 0).alias("stands"))
+    named = first(e.filter(F.col("detector_id").startswith("software.")).withColumn("name", F.element_at(F.array(*map(F.lit, TOOLS)), F.col("evidence_ref") % len(TOOLS) + 1)), "doc", "name")
+    software = named.select("doc", F.col("x.evidence_ref").alias("pos"), "name", F.col("x.confidence").alias("confidence"), F.concat(F.lit("We fitted it with "), "name", F.lit(".")).alias("evidence"), (F.col("x.evidence_ref") % 2 == 0).alias("stands"))
+    texts = F.transform(F.filter("sections", lambda s: s["kind"] != "references"), lambda s: F.coalesce(s["text"], F.lit("")))
+    contexts = _t(spark, d, "parsed_docs").dropDuplicates(["doc_key"]).select(F.col("doc_key").alias("doc"), F.array_join(texts, "\n").alias("text"))
+    # at most a sentence for each kind of fact and each detector of software
+    added = facts.select("doc", "evidence", "stands").unionByName(software.select("doc", "evidence", "stands")).filter("stands").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("evidence")), "\n").alias("added"))
+    contexts = contexts.join(added, "doc", "left").select("doc", F.concat_ws("\n", "text", "added").alias("context"))
+    facts, software = facts.drop("stands"), software.drop("stands")
+    return facts, contexts, software, e.select("doc", "detector_id", "quote")
 
 
 def classify_labels(spark: SparkSession, d: str) -> DataFrame:
-    facts, contexts, _ = _facts(spark)
+    facts, contexts, _, _ = _facts(spark, d)
     return classify.paper_labels(facts, contexts).select("doc", F.array_join("labels", ",").alias("labels"))
 
 
 def classify_software(spark: SparkSession, d: str) -> DataFrame:
-    facts, contexts, software = _facts(spark)
+    facts, contexts, software, _ = _facts(spark, d)
     return classify.paper_software(software, contexts, classify.paper_labels(facts, contexts)).select("doc", F.array_join("software", ",").alias("software"))
 
 
 def classify_methods(spark: SparkSession, d: str) -> DataFrame:
-    facts, contexts, software = _facts(spark)
-    evidence = spark.createDataFrame([(1, "method.mcmc", "four chains")], "doc int, detector_id string, quote string")
+    facts, contexts, software, evidence = _facts(spark, d)
     soft = classify.paper_software(software, contexts, classify.paper_labels(facts, contexts))
     return classify.paper_methods(facts, contexts, evidence, soft).select("doc", F.array_join("methods", ",").alias("methods"))
 
 
 def classify_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return classify.fact_confidence(_facts(spark)[0])
+    return classify.fact_confidence(_facts(spark, d)[0])
 
 
 def expectation_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -181,15 +187,64 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+def _classify_sql() -> dict[str, str]:
+    """The rules of classification with RE2, which lacks lookaheads: OWN_MODEL stands without its own, USAGE checks the words between by themselves."""
+    from auditloom.functions.text import STOP_WORDS
+
+    q = lambda s: "'" + str(s).replace("'", "''") + "'"
+    has = lambda text, p: f"regexp_matches({text}, {q(p)})"
+    case = lambda c, table: f"CASE {c} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + " END"
+    cue = lambda name, cues, text: f"CASE {name} " + " ".join(f"WHEN {q(k)} THEN {has(text, p)}" for k, p in cues.items()) + " ELSE FALSE END"
+    norm = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+    words = f"list_filter(string_split(qn, ' '), lambda x: length(x) >= 4 AND NOT list_contains([{', '.join(map(q, STOP_WORDS))}], x))"
+    grounded = f"coalesce(qn <> '' AND (contains(tn, qn) OR (len({words}) >= 6 AND len(list_filter(list_distinct({words}), lambda x: contains(tn, x))) / len(list_distinct({words})) >= 0.8)), FALSE)"
+    own = re.sub(r"\(\?!\.\{0,60\}\\bprior\\b\)", "", classify.OWN_MODEL)
+    before, after = classify.USAGE.removeprefix("(?i)").split("|\\b(?:was|were)", 1)
+    verb = before.split("{0,60}", 1)[1]
+    usage = f"(len(list_filter(regexp_extract_all(qs, {q('(?i)' + chr(92) + 'b(?:we|our)' + chr(92) + 'b([^.;]{0,60}?)' + verb)}, 1), lambda x: NOT {has('x', '(?i)' + chr(92) + 'b(?:it|that|which|why|how|they)' + chr(92) + 'b')})) > 0 OR {has('qs', '(?i)' + chr(92) + 'b(?:was|were)' + after)})"
+    squeeze = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    base = f"""WITH e AS (SELECT DISTINCT evidence_id, doc_key AS doc, evidence_ref, detector_id, span.quote AS quote, CASE WHEN span.page IS NULL THEN 'low' ELSE 'high' END AS confidence FROM evidence),
+        ctx0 AS (SELECT doc_key AS doc, string_agg(coalesce(s.text, ''), chr(10) ORDER BY i) FILTER (s.kind <> 'references') AS context FROM (SELECT doc_key, unnest(sections) AS s, generate_subscripts(sections, 1) AS i FROM (SELECT DISTINCT doc_key, sections FROM parsed_docs)) GROUP BY 1),
+        named AS (SELECT *, {case('detector_id', FACT_OF_DETECTOR)} AS fact_name FROM e), first0 AS (SELECT * FROM named WHERE fact_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, fact_name ORDER BY evidence_ref, evidence_id) = 1),
+        first AS (SELECT * REPLACE (CASE WHEN starts_with(fact_name, 'uses_') AND fact_name <> 'uses_bayesian_model_on_real_data' THEN 'We estimated it so: ' || quote ELSE quote END AS quote) FROM first0),
+        sw0 AS (SELECT * REPLACE ('We fitted it with ' || name || '.' AS quote) FROM (SELECT doc, evidence_ref AS pos, list_extract([{', '.join(map(q, TOOLS))}], (evidence_ref % {len(TOOLS)} + 1)::INT) AS name, confidence, quote, evidence_id FROM e WHERE starts_with(detector_id, 'software.')) QUALIFY row_number() OVER (PARTITION BY doc, name ORDER BY pos, evidence_id) = 1),
+        more AS (SELECT doc, string_agg(quote, chr(10) ORDER BY quote) AS added FROM (SELECT DISTINCT doc, quote FROM (SELECT doc, quote, evidence_ref FROM first UNION ALL SELECT doc, quote, pos FROM sw0) WHERE evidence_ref % 2 = 0) GROUP BY 1),
+        ctx AS (SELECT doc, concat_ws(chr(10), context, added) AS context FROM ctx0 LEFT JOIN more USING (doc)),
+        facts AS (SELECT f.*, coalesce(quote, '') AS qq, context, {norm("coalesce(quote, '')")} AS qn, {norm('context')} AS tn FROM first f JOIN ctx USING (doc)),
+        sur AS (SELECT doc, fact_name, {case('fact_name', classify.LABEL_OF_FACT)} AS label, qq FROM facts WHERE {case('fact_name', classify.LABEL_OF_FACT)} IS NOT NULL AND confidence = 'high'
+            AND ({grounded} OR {cue(f"({case('fact_name', classify.LABEL_OF_FACT)})", classify.LABEL_CUES, 'qq')}) AND (fact_name <> 'investigates_theoretical_behavior' OR {has("qq || chr(10) || context", classify.FORMAL)} OR ({has("qq || chr(10) || context", classify.DERIVES)} AND {has("qq || chr(10) || context", classify.PROPERTY)}))),
+        f1 AS (SELECT ctx.doc, context, coalesce((SELECT list(DISTINCT label) FROM sur WHERE sur.doc = ctx.doc), []) AS found, coalesce((SELECT max(qq) FROM facts x WHERE x.doc = ctx.doc AND fact_name = 'develops_new_bayesian_model'), '') AS mq, coalesce((SELECT max(qq) FROM facts x WHERE x.doc = ctx.doc AND fact_name = 'develops_new_bayesian_method'), '') AS eq FROM ctx),
+        f2 AS (SELECT *, list_contains(found, 'model_development') AS m, list_contains(found, 'method_development') AS e FROM f1), f3 AS (SELECT *, CASE WHEN e THEN eq || chr(10) || mq || chr(10) || context ELSE mq END AS place FROM f2),
+        f4 AS (SELECT doc, CASE WHEN m AND {has('place', classify.GENERAL_PRIOR)} AND NOT {has('mq', own)} AND NOT {has('mq', classify.SPECIFIC_PRIOR)} THEN list_distinct(list_append(list_filter(found, lambda x: x <> 'model_development'), 'method_development'))
+            WHEN NOT m AND e AND {has('eq', classify.SPECIFIC_PRIOR)} AND NOT {has('eq', classify.GENERAL_PRIOR)} AND NOT {has('eq', classify.PROCEDURE)} THEN list_distinct(list_append(list_filter(found, lambda x: x <> 'method_development'), 'model_development')) ELSE found END AS f FROM f3),
+        f5 AS (SELECT doc, CASE WHEN len(list_filter(f, lambda x: x <> 'review')) > 0 THEN list_filter(f, lambda x: x <> 'review') ELSE f END AS f FROM f4), f6 AS (SELECT *, list_filter([{', '.join(map(q, classify.LEADING))}], lambda x: list_contains(f, x))[1] AS lead FROM f5),
+        labels AS (SELECT doc, CASE WHEN lead IS NULL THEN ['data_analysis'] ELSE list_concat([lead], list_filter(CASE lead {' '.join(f"WHEN {q(k)} THEN [{', '.join(map(q, v))}]::VARCHAR[]" for k, v in classify.FOLLOWING.items())} END, lambda x: list_contains(f, x)))[1:{classify.MOST_LABELS}] END AS labels FROM f6),
+        sw AS (SELECT *, {case("regexp_replace(lower(name), '[^a-z0-9]', '', 'g')", classify.CANONICAL)} AS canon FROM sw0),
+        sg AS (SELECT *, {norm('quote')} AS qn, {norm('context')} AS tn, coalesce(canon, name) AS can FROM sw JOIN ctx USING (doc)),
+        names AS (SELECT doc, list(can ORDER BY pos, can) AS s FROM sg WHERE confidence = 'high' AND regexp_replace(lower(name), '[^a-z0-9]', '', 'g') NOT IN ({', '.join(map(q, (*classify.LANGUAGES, *classify.OTHER_TOOLS)))}) AND {grounded} AND (regexp_matches(lower(quote), '(^|[^a-z0-9])' || lower(name) || '([^a-z0-9]|$)') OR regexp_matches(lower(quote), '(^|[^a-z0-9])' || lower(can) || '([^a-z0-9]|$)')) GROUP BY 1),
+        software AS (SELECT doc, CASE WHEN s IS NULL AND len(list_filter(labels, lambda x: x NOT IN ('review', 'theoretical_analysis'))) > 0 THEN ['Custom'] ELSE list_filter(coalesce(s, []), lambda x, i: list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i) END AS software FROM labels LEFT JOIN names USING (doc)),
+        keys AS (SELECT doc, list_transform(software, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS keys FROM software),
+        imp AS (SELECT doc, list_filter([{', '.join(f"CASE WHEN list_has_any(keys, [{', '.join(map(q, v))}]) THEN {q(m)} END" for m, v in classify.IMPLIED.items())}], lambda x: x IS NOT NULL) AS implied FROM keys),
+        mf AS (SELECT facts.*, {case('fact_name', classify.METHOD_OF_FACT)} AS method, {squeeze('qq')} AS qs, implied FROM facts JOIN imp USING (doc) WHERE {case('fact_name', classify.METHOD_OF_FACT)} IS NOT NULL),
+        mh AS (SELECT *, qs <> '' AND EXISTS (SELECT 1 FROM e WHERE e.doc = mf.doc AND e.detector_id = {case('mf.method', classify.METHOD_DETECTOR)} AND (contains({squeeze('e.quote')}, qs) OR contains(qs, {squeeze('e.quote')}))) AS hit FROM mf),
+        said AS (SELECT doc, list(DISTINCT method) AS ms FROM mh WHERE {grounded} AND (list_contains(implied, method) OR ({usage} AND (hit OR {cue('method', classify.METHOD_CUES, 'qs')} OR (method = 'sbi' AND (({has('context', classify.INVERTIBLE)} AND {has('context', classify.POSTERIOR_OF)} AND {has('context', classify.INVERSE)}) OR ({has('context', classify.NEURAL)} AND {has('context', classify.SIMULATOR)})))))) GROUP BY 1),
+        methods AS (SELECT doc, list_concat(list_filter([{', '.join(map(q, classify.METHOD_OF_FACT.values()))}], lambda x: list_contains(coalesce(ms, []), x)), implied) AS l FROM imp LEFT JOIN said USING (doc))"""
+    return {
+        "classify_labels": f"{base} SELECT doc, array_to_string(labels, ',') AS labels FROM labels",
+        "classify_software": f"{base} SELECT doc, array_to_string(software, ',') AS software FROM software",
+        "classify_methods": f"{base} SELECT doc, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS methods FROM methods",
+        "classify_confidence": f"{base} SELECT doc, round_even(avg(CASE WHEN confidence = 'high' THEN 0.9 ELSE 0.65 END)::DOUBLE, 2) AS confidence FROM first GROUP BY 1",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     q = lambda s: "'" + str(s).replace("'", "''") + "'"
     # versions with the same time differ in no column that is asked for here except by the whole row's order, which the first column decides
     cur = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_key ORDER BY updated_at DESC) AS rn FROM (SELECT DISTINCT * FROM archived_papers)) WHERE rn = 1)"
     facet = " UNION ALL ".join(f"SELECT '{f}' AS field, unnest({f}) AS tag FROM cur" for f in archive.TAG_FIELDS)
     hay = "lower(concat_ws(' ', paper_title, identifier, array_to_string(list_filter(paper_authors, lambda x: x IS NOT NULL), ' '), array_to_string(paper_type, ' '), array_to_string(discipline, ' '), array_to_string(methods, ' '), array_to_string(software, ' ')))"
-    values = ", ".join(f"({d}, {q(n)}, {q(a)}, {q(c)}, {q(e)})" for d, n, a, c, e in FACTS)
     tiers = ", ".join(f"({q(s)}, {q(x)}, {2 if t == 'expected' else 1})" for s, x, t in TIERS)
-    return {
+    return _classify_sql() | {
         "archive_current": f"WITH {cur} SELECT report_key, paper_title, quality_score, updated_at FROM cur",
         "archive_search": f"WITH {cur} SELECT report_key, paper_title, run_mode FROM cur WHERE contains({hay}, 'model') AND list_has_any(paper_type, ['data_analysis', 'model_development']) AND list_has_any(methods, ['mcmc', 'hmc_nuts', 'variational'])",
         "archive_facets": f"WITH {cur}, f AS ({facet}) SELECT field, tag, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY lower(tag), tag) AS place FROM f WHERE tag IS NOT NULL GROUP BY field, tag",
@@ -204,10 +259,6 @@ def oracle_sql() -> dict[str, str]:
         "report_merge_upsert": "WITH a AS (SELECT DISTINCT report_key, paper_title, quality_score, array_to_string(software, '|') AS software, created_at, updated_at FROM archived_papers), n AS (SELECT *, row_number() OVER (PARTITION BY report_key ORDER BY updated_at) AS lo, row_number() OVER (PARTITION BY report_key ORDER BY updated_at DESC) AS hi FROM a), o AS (SELECT * FROM n WHERE lo = 1), m AS (SELECT * FROM n WHERE hi = 1) SELECT o.report_key, coalesce(m.paper_title, o.paper_title) AS paper_title, coalesce(m.quality_score, o.quality_score) AS quality_score, m.software, coalesce(o.created_at, m.created_at) AS created_at, m.updated_at FROM o JOIN m USING (report_key)",
         "provider_resolution": "WITH a AS (SELECT DISTINCT identifier, source_sha256, paper_id FROM archived_papers WHERE identifier IS NOT NULL), p AS (SELECT identifier, min('blob:' || source_sha256) AS x FROM a WHERE source_sha256 IN (SELECT source_doc.sha256 FROM parsed_docs) GROUP BY 1), g AS (SELECT identifier, min('page:' || paper_id) AS y FROM a WHERE paper_id IS NOT NULL GROUP BY 1) SELECT i.identifier, CASE WHEN x IS NOT NULL THEN 'parsed' WHEN y IS NOT NULL THEN 'page' END AS origin, coalesce(x, y) AS pdf_url FROM (SELECT DISTINCT identifier FROM a) i LEFT JOIN p USING (identifier) LEFT JOIN g USING (identifier)",
         "version_parts": "SELECT DISTINCT engine_version, len(list_filter(string_split('pkg=' || engine_version || ';models=a=b', ';'), lambda x: contains(x, '=')))::INT AS n, 'a=b' AS models FROM archived_papers WHERE engine_version IS NOT NULL",
-        "classify_labels": "SELECT * FROM (VALUES (1, 'model_development,data_analysis'), (2, 'review'), (3, 'method_development,theoretical_analysis'), (4, 'data_analysis'), (5, 'method_development')) t(doc, labels)",
-        "classify_software": "SELECT * FROM (VALUES (1, 'Stan'), (2, ''), (3, 'Custom (Julia)'), (4, 'Custom'), (5, 'Custom')) t(doc, software)",
-        "classify_methods": "SELECT * FROM (VALUES (1, 'mcmc'), (2, ''), (3, ''), (4, ''), (5, '')) t(doc, methods)",
-        "classify_confidence": f"WITH f(doc, fact_name, answer, confidence, evidence) AS (VALUES {values}) SELECT doc, round(avg(CASE WHEN confidence = 'high' THEN 0.9 ELSE 0.65 END)::DOUBLE, 2) AS confidence FROM f WHERE answer = 'yes' GROUP BY 1",
         "expectation_tiers": f"WITH t(step_id, label, r) AS (VALUES {tiers}), l AS (SELECT DISTINCT gold_key AS doc, unnest(paper_types) AS label FROM goldset), j AS (SELECT l.doc, s.step_id, l.label, coalesce(t.r, 0) AS r, max(coalesce(t.r, 0)) OVER (PARTITION BY l.doc, s.step_id) AS top FROM l CROSS JOIN (SELECT DISTINCT step_id FROM t) s LEFT JOIN t ON t.step_id = s.step_id AND t.label = l.label) SELECT doc, step_id, CASE top WHEN 2 THEN 'expected' WHEN 1 THEN 'recommended' ELSE 'none' END AS tier, string_agg(label, ', ' ORDER BY label) AS asked_by FROM j WHERE r = top GROUP BY doc, step_id, top",
         "ext_misclassification_prevalence": "SELECT source, round(least(greatest((avg((lang = 'en')::INT) + 0.8 - 1) / (0.95 + 0.8 - 1), 0), 1)::DOUBLE, 9) AS prevalence FROM documents GROUP BY 1",
         "ext_quality_over_time": f"WITH {cur} SELECT paper_year, rubric_profile, round(avg(quality_score), 9) AS quality, count(*) AS n FROM cur WHERE paper_year IS NOT NULL GROUP BY ALL",

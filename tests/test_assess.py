@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from auditloom.operators import assess
+from auditloom.operators import assess, classify
 from auditloom.plans import archive as plans
 
 
@@ -32,8 +32,35 @@ def test_rejections_objects_and_clamp(spark):
     assert [(r.o, r.c) for r in got] == [('{"a": "}\\"", "b": {}}', 1.0), (None, None), (None, None)]
 
 
+FACTS = (
+    (1, "develops_new_bayesian_model", "yes", "high", "We propose a new hierarchical model of reaction times."),
+    (1, "uses_bayesian_model_on_real_data", "yes", "high", "fitted to observed data from 40 participants"),
+    (1, "uses_mcmc", "yes", "high", "We sampled the posterior with four chains in Stan."),
+    (2, "is_review_tutorial_or_commentary", "yes", "high", "This tutorial reviews prior choice."),
+    (2, "uses_mcmc", "yes", "high", "MCMC has a long history."),
+    (3, "develops_new_bayesian_method", "yes", "high", "We introduce a new sampler algorithm."),
+    (3, "investigates_theoretical_behavior", "yes", "high", "Theorem 1 gives posterior contraction."),
+    (3, "is_review_tutorial_or_commentary", "yes", "high", "a short review of samplers"),
+    (4, "uses_bayesian_model_on_real_data", "yes", "low", "some data"),
+    (5, "develops_new_bayesian_model", "yes", "high", "We develop a weakly-informative prior for variance parameters."),
+)
+CONTEXTS = (
+    (1, "We propose a new hierarchical model of reaction times. It was fitted to observed data from 40 participants. We sampled the posterior with four chains in Stan."),
+    (2, "This tutorial reviews prior choice. MCMC has a long history."),
+    (3, "We introduce a new sampler algorithm. Theorem 1 gives posterior contraction. First a short review of samplers."),
+    (4, "Nothing that matches."),
+    (5, "We develop a weakly-informative prior for variance parameters."),
+)
+SOFTWARE = ((1, 0, "Stan", "high", "We sampled the posterior with four chains in Stan."), (1, 1, "Python", "high", "in Python"), (3, 0, "custom code", "high", "We introduce a new sampler algorithm."), (3, 1, "julia", "high", "x"))
+
+
 def test_classification_fixtures(spark):
-    of = lambda f, c: {r.doc: r[c] for r in f(spark, "").collect()}
-    assert of(plans.classify_labels, "labels") == {1: "model_development,data_analysis", 2: "review", 3: "method_development,theoretical_analysis", 4: "data_analysis", 5: "method_development"}
-    assert of(plans.classify_software, "software") == {1: "Stan", 2: "", 3: "Custom (Julia)", 4: "Custom", 5: "Custom"}
-    assert of(plans.classify_methods, "methods") == {1: "mcmc", 2: "", 3: "", 4: "", 5: ""}
+    facts = spark.createDataFrame(FACTS, "doc int, fact_name string, answer string, confidence string, evidence string")
+    contexts, software = spark.createDataFrame(CONTEXTS, "doc int, context string"), spark.createDataFrame(SOFTWARE, "doc int, pos int, name string, confidence string, evidence string")
+    evidence = spark.createDataFrame([(1, "method.mcmc", "four chains")], "doc int, detector_id string, quote string")
+    of = lambda df, c: {r.doc: ",".join(r[c]) for r in df.collect()}
+    labels = classify.paper_labels(facts, contexts)
+    soft = classify.paper_software(software, contexts, labels)
+    assert of(labels, "labels") == {1: "model_development,data_analysis", 2: "review", 3: "method_development,theoretical_analysis", 4: "data_analysis", 5: "method_development"}
+    assert of(soft, "software") == {1: "Stan", 2: "", 3: "Custom (Julia)", 4: "Custom", 5: "Custom"}
+    assert of(classify.paper_methods(facts, contexts, evidence, soft), "methods") == {1: "mcmc", 2: "", 3: "", 4: "", 5: ""}
