@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that don't count as content words.
 STOP_WORDS = ("that", "this", "with", "from", "into", "have", "been", "were", "using", "used", "paper", "study", "method", "model", "data")
@@ -178,6 +179,12 @@ def version_parts(version: Column) -> Column:
     return F.map_from_entries(pairs)
 
 
-def compact_json(event: Column) -> Column:
-    """A struct as JSON without null, empty text and empty array fields (null and empty arrays must be null already in the struct)."""
-    return F.to_json(event, {"ignoreNullFields": "true"})
+def compact_json(event: Column, kind: T.StructType) -> Column:
+    """A struct of type ``kind`` as JSON without its null fields, empty texts, empty arrays and empty maps."""
+    def kept(f: T.StructField) -> Column:
+        c = event[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return F.nullif(c, F.lit(""))
+        return F.when(F.size(c) > 0, c) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else c
+
+    return F.to_json(F.struct(*[kept(f).alias(f.name) for f in kind.fields]), {"ignoreNullFields": "true"})

@@ -190,11 +190,11 @@ def expectation_tiers(labels: DataFrame, steps: DataFrame, tiers: DataFrame) ->
     ``labels``: doc, label; ``steps``: step_id; ``tiers``: step_id, label, tier. The rubric's tables are small and fixed.
     """
     rank = F.when(F.col("tier") == "expected", 2).when(F.col("tier") == "recommended", 1).otherwise(0)
-    ids = steps.agg(F.collect_set("step_id").alias("ids"))
     known = tiers.withColumn("rank", rank).groupBy("step_id", "label").agg(F.max("rank").alias("rank"))
     docs = labels.groupBy("doc").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    step_list = ids.first()["ids"]
-    sets = docs.select("labels").distinct().withColumn("step_id", F.explode(F.array(*map(F.lit, sorted(step_list))))).withColumn("label", F.explode("labels"))
+    # one row holds the rubric's steps, joined to the distinct label sets by a constant
+    listed = steps.agg(F.array_sort(F.collect_set("step_id")).alias("ids")).withColumn("_one", F.lit(1))
+    sets = docs.select("labels").distinct().withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select("labels", F.explode("ids").alias("step_id")).withColumn("label", F.explode("labels"))
     joined = sets.join(F.broadcast(known), ["step_id", "label"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
     best = joined.withColumn("top", F.max("rank").over(Window.partitionBy("labels", "step_id"))).filter("rank = top")
     tier = best.groupBy("labels", "step_id").agg(F.max("top").alias("top"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("asked_by"))

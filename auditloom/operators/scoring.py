@@ -102,6 +102,24 @@ def apply_corrections(steps: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.withColumn("corrected", F.when(F.col("applicable") & F.col("target").isNotNull(), one_level_toward(F.col("status"), F.col("target"))).otherwise(F.col("status")))
 
 
+def correction_deltas(steps: DataFrame, corrections: DataFrame) -> DataFrame:
+    """What each correction by itself changes: doc, step_id, status, corrected, coverage_delta, quality_delta.
+
+    ``steps``: doc, step_id, applicable, status, weight; ``corrections`` as in apply_corrections(). The deltas are
+    those of the score with just this one applied, from the document's sums, so nothing is scored again. Corrections of
+    steps that don't apply or aren't there give no row.
+    """
+    w = Window.partitionBy("doc")
+    on = F.col("applicable")
+    s = apply_corrections(steps, corrections).withColumns({
+        "_n": F.sum(F.when(on, 1).otherwise(0)).over(w), "_w": F.sum(F.when(on, F.col("weight"))).over(w),
+    })
+    there = lambda c: F.when(F.col(c).isin("partial", "adequate"), 1).otherwise(0)
+    coverage = (there("corrected") - there("status")) / F.nullif(F.col("_n"), F.lit(0))
+    quality = F.col("weight") * (sub_score(F.col("corrected")) - sub_score(F.col("status"))) / F.nullif(F.col("_w"), F.lit(0.0))
+    return s.filter(on & F.col("target").isNotNull()).select("doc", "step_id", "status", "corrected", coverage.alias("coverage_delta"), quality.alias("quality_delta"))
+
+
 def severity_of(tier: Column, status: Column) -> Column:
     missing = F.when(tier == "expected", "error").when(tier == "recommended", "warning").otherwise("info")
     return F.when(status == "missing", missing).when((status == "partial") & (tier == "expected"), "warning").otherwise("info")

@@ -82,9 +82,12 @@ def job_fallback_state(spark: SparkSession, d: str) -> DataFrame:
     return j.select("user_id", s["origin"].alias("origin"), s["value"].alias("value"))
 
 
+REPLAY = {"engine_version": "0.5.1", "rubric_version": "0.1-draft", "grading_strategy": "batch"}
+
+
 def replayable_reports(spark: SparkSession, d: str) -> DataFrame:
-    r = _reports(spark, d)
-    return r.join(F.broadcast(r.agg(F.max("engine_version").alias("engine_version"), F.max("rubric_version").alias("rubric_version"))), ["engine_version", "rubric_version"]).filter("quality_score IS NOT NULL AND coverage_applicable > 0").select("report_key", "run_mode", "engine_version")
+    """Full reports that may be shown again under a given set of versions."""
+    return archive.replayable(_reports(spark, d), "full", REPLAY).select("report_key", "run_mode", "engine_version", "quality_score")
 
 
 def provider_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_event_per_key": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
         "job_event_replay": "WITH n AS (SELECT *, row_number() OVER w AS seq, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, seq, event_id, event_type FROM n WHERE NOT ended AND seq > 2",
         "job_fallback_state": "WITH l AS (SELECT user_id, max(event_id)::VARCHAR AS a, (max(event_id) FILTER (event_type = 'purchase'))::VARCHAR AS p, (max(event_id) FILTER (event_type = 'signup'))::VARCHAR AS s FROM events GROUP BY 1) SELECT user_id, CASE WHEN p IS NOT NULL THEN 'purchase' WHEN s IS NOT NULL THEN 'signup' ELSE 'any' END AS origin, coalesce(p, s, a) AS value FROM l",
-        "replayable_reports": f"WITH {cur} SELECT report_key, run_mode, engine_version FROM cur WHERE engine_version = (SELECT max(engine_version) FROM cur) AND rubric_version = (SELECT max(rubric_version) FROM cur) AND quality_score IS NOT NULL AND coverage_applicable > 0",
+        "replayable_reports": f"WITH {cur} SELECT report_key, run_mode, engine_version, quality_score FROM cur WHERE run_mode = 'full' AND {' AND '.join(f'{k} = {q(v)}' for k, v in REPLAY.items())} AND quality_score IS NOT NULL AND coverage_applicable > 0",
         "report_merge_upsert": "WITH a AS (SELECT DISTINCT report_key, paper_title, quality_score, array_to_string(software, '|') AS software, created_at, updated_at FROM archived_papers), n AS (SELECT *, row_number() OVER (PARTITION BY report_key ORDER BY updated_at) AS lo, row_number() OVER (PARTITION BY report_key ORDER BY updated_at DESC) AS hi FROM a), o AS (SELECT * FROM n WHERE lo = 1), m AS (SELECT * FROM n WHERE hi = 1) SELECT o.report_key, coalesce(m.paper_title, o.paper_title) AS paper_title, coalesce(m.quality_score, o.quality_score) AS quality_score, m.software, coalesce(o.created_at, m.created_at) AS created_at, m.updated_at FROM o JOIN m USING (report_key)",
         "provider_resolution": "WITH a AS (SELECT DISTINCT identifier, source_sha256, paper_id FROM archived_papers WHERE identifier IS NOT NULL), p AS (SELECT identifier, min('blob:' || source_sha256) AS x FROM a WHERE source_sha256 IN (SELECT source_doc.sha256 FROM parsed_docs) GROUP BY 1), g AS (SELECT identifier, min('page:' || paper_id) AS y FROM a WHERE paper_id IS NOT NULL GROUP BY 1) SELECT i.identifier, CASE WHEN x IS NOT NULL THEN 'parsed' WHEN y IS NOT NULL THEN 'page' END AS origin, coalesce(x, y) AS pdf_url FROM (SELECT DISTINCT identifier FROM a) i LEFT JOIN p USING (identifier) LEFT JOIN g USING (identifier)",
         "version_parts": "SELECT DISTINCT engine_version, len(list_filter(string_split('pkg=' || engine_version || ';models=a=b', ';'), lambda x: contains(x, '=')))::INT AS n, 'a=b' AS models FROM archived_papers WHERE engine_version IS NOT NULL",

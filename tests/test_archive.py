@@ -116,11 +116,13 @@ def test_files(spark, tmp_path):
     rubric.write_text("steps:\n  - {id: S1, name: n, essential_for: [a], thresholds: {t: {value: '< 1', source: s, verified: true}}}\nscoring: {weights: {a: {S1: 0.5}}}\ncitations: {s: Some}\n")
     spec = files.read_rubric(spark, str(rubric))
     assert spec["weights"].first().weight == 0.5 and spec["tiers"].first().tier == "expected"
-    chosen = files.resolve_standards(spark.createDataFrame([("d", "S1", ["zz", "s"])], "doc string, step_id string, ids array<string>"), spec["citations"], spec["thresholds"])
-    assert [(r.pos, r.source_id, r.verified) for r in chosen.collect()] == [(1, "s", True)]
+    asked = lambda *ids: files.resolve_standards(spark.createDataFrame([("d", "S1", ids)], "doc string, step_id string, ids array<string>"), spec["citations"], spec["thresholds"])
+    assert [(r.pos, r.source_id, r.verified) for r in asked("s").collect()] == [(0, "s", True)]
+    with pytest.raises(Exception, match="unknown standard: zz"):
+        asked("s", "zz").collect()
     files.save_event(spark.createDataFrame([("start", 1)], "event string, n int"), str(tmp_path / "events"))
     files.write_atomic(spark.range(3), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "events")).first().created_at is not None and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "events")).first().created_at is not None and files.read_current(spark, str(tmp_path / "t")).count() == 3
     with pytest.raises(Exception, match="no engine result"):
         files.pinned(spark.createDataFrame([("x",)], "source_sha256 string"), spark.createDataFrame([], "source_sha256 string")).collect()
 
@@ -139,15 +141,27 @@ def test_providers(spark):
     assert providers.pii_to_doi(spark.createDataFrame([("S00",)], "pii string"), works).first().doi == "10.1/z"
 
 
-def test_stream_numbers_like_the_batch(spark, tmp_path):
-    rows = [(f"j{i % 3}", i, "done" if i == 10 else "status", "s", "x", None) for i in range(18)]
-    schema = "job_id string, event_no long, type string, stage string, state string, reason string"
+@pytest.mark.parametrize("at", [None, "at"])
+def test_stream_numbers_like_the_batch(spark, tmp_path, at):
+    rows = [(f"j{i % 3}", i, "done" if i == 10 else "status", "s", "x", None, _at(0)) for i in range(18)]
+    schema = "job_id string, event_no long, type string, stage string, state string, reason string, at timestamp"
     for k in range(3):
         spark.createDataFrame(rows[k * 6 : k * 6 + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = events.number_events(stream).writeStream.format("memory").queryName("numbered").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    name = f"numbered_{at}"
+    q = events.number_events(stream, at).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
-    got = sorted((r.job_id, r.seq, r.type) for r in spark.table("numbered").collect())
+    got = sorted((r.job_id, r.seq, r.type) for r in spark.table(name).collect())
     batch = archive.replay(spark.createDataFrame(rows, schema), "job_id", ["event_no"], kind="type")
     assert got == sorted((r.job_id, r.seq, r.type) for r in batch.collect()) and len(got) == 16
-    assert events.replay_from(spark.table("numbered"), 2).count() == sum(s > 2 for _, s, _ in got)
+    assert events.replay_from(spark.table(name), 2).count() == sum(s > 2 for _, s, _ in got)
+
+
+def test_stream_replay_forgets_old_numbers(spark, tmp_path):
+    schema = "job_id string, seq long, at timestamp"
+    spark.createDataFrame([("j", k % 4, _at(0)) for k in range(8)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="time column"):
+        events.replay_from(stream, 0)
+    q = events.replay_from(stream, 0, at="at").writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90) and sorted(r.seq for r in spark.table("replayed").collect()) == [1, 2, 3]

@@ -1,7 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import assess, classify
-from auditloom.plans import archive as plans
+from auditloom.operators import assess, classify, scoring
 
 
 def test_reconcile_and_verdicts(spark):
@@ -64,3 +64,67 @@ def test_classification_fixtures(spark):
     assert of(labels, "labels") == {1: "model_development,data_analysis", 2: "review", 3: "method_development,theoretical_analysis", 4: "data_analysis", 5: "method_development"}
     assert of(soft, "software") == {1: "Stan", 2: "", 3: "Custom (Julia)", 4: "Custom", 5: "Custom"}
     assert of(classify.paper_methods(facts, contexts, evidence, soft), "methods") == {1: "mcmc", 2: "", 3: "", 4: "", 5: ""}
+
+
+SPANS = f"array<{assess.SPAN}>"
+
+
+def _assessed(spark):
+    q = ("judge_quote", "s02", None, "held")
+    rows = [
+        ("d", "S1", "missing", 1.7, [q, q], [" ", "good"], [("add it", None, "LOW")]), ("d", "S2", "partial", None, None, None, [("more", "how", "odd")]), ("e", "S1", "missing", 0.2, [], [], None),
+    ]
+    judged = spark.createDataFrame(rows, f"doc string, step_id string, status string, confidence double, evidence {SPANS}, did_well array<string>, suggestions array<struct<text:string,how_to:string,ease:string>>")
+    searched = spark.createDataFrame([("d", 1, "s02"), ("d", 0, "s01")], "doc string, section_pos int, section_id string")
+    tiers = spark.createDataFrame([("d", "S1", "expected"), ("d", "S2", "expected")], "doc string, step_id string, tier string")
+    return judged, assess.to_assessments(judged, searched, tiers)
+
+
+def test_judgments_become_assessments(spark):
+    judged, out = _assessed(spark)
+    got = {(r.doc, r.step_id): r for r in out.collect()}
+    a = got["d", "S1"]
+    assert [(x.kind, x.section_id, x.quote) for x in a.evidence] == [("judge_quote", "s02", "held"), ("absence_search", "s01", "")] and a.confidence == 1.0 and a.did_well == ["good"]
+    assert [(x.severity, x.text, x.ease) for x in a.suggestions] == [("error", "add it", "low")] and [(x.severity, x.ease) for x in got["d", "S2"].suggestions] == [("warning", "medium")]
+    assert got["d", "S2"].evidence == [] and got["d", "S2"].confidence is None and [x.section_id for x in got["e", "S1"].evidence] == ["s00"]
+    with pytest.raises(Exception, match="S9 has the invalid status odd"):
+        odd = judged.limit(1).withColumn("status", F.lit("odd")).withColumn("step_id", F.lit("S9"))
+        assess.to_assessments(odd, spark.createDataFrame([], "doc string, section_pos int, section_id string"), spark.createDataFrame([], "doc string, step_id string, tier string")).collect()
+
+
+def test_refutations(spark):
+    _, out = _assessed(spark)
+    v = [("d", "S1", True, "missing", ("judge_quote", "s03", None, "found"), "It is there. " * 50), ("d", "S2", True, "adequate", None, None), ("e", "S1", False, None, None, "no")]
+    verdicts = spark.createDataFrame(v, f"doc string, step_id string, refuted boolean, proposed string, rescue {assess.SPAN}, notes string")
+    got = {(r.doc, r.step_id): r for r in assess.apply_refutations(out, verdicts).collect()}
+    a, b, c = got["d", "S1"], got["d", "S2"], got["e", "S1"]
+    assert a.status == "partial" and [x.quote for x in a.evidence] == ["held", "found"] and len(a.suggestions) == 1 and len(a.notes) <= 400 and a.notes.endswith(".")
+    assert b.status == "adequate" and b.suggestions == [] and (c.status, c.challenged, c.refuted) == ("missing", True, False) and c.evidence[0].kind == "absence_search"
+    plain = assess.apply_refutations(out, verdicts.limit(0)).collect()
+    assert {r.challenged for r in plain} == {False} and {r.status for r in plain} == {"missing", "partial"}
+
+
+def test_contract_views_and_costs(spark):
+    step = "array<struct<step_id:string,applicable:boolean,status:string>>"
+    rows = [("ok", "yes", ["a"], [("S1", True)], [("S1", True, "partial")]), ("bad", "no", [], [("S1", True), ("S2", False)], [("S1", False, "partial"), ("S1", True, "not_applicable")]), ("none", "yes", None, [("S1", True)], None)]
+    got = {}
+    for r in assess.contract_violations(spark.createDataFrame(rows, f"doc string, relevance string, labels array<string>, expected array<struct<step_id:string,applicable:boolean>>, steps {step}")).collect():
+        got.setdefault(r.doc, set()).add(r.violation)
+    assert got == {"bad": {"irrelevant", "no class", "repeated step", "step left out", "applicability differs", "applicable but not_applicable"}, "none": {"no class", "no steps", "step left out"}}
+    e = spark.createDataFrame([("judge_quote",), ("absence_search",), ("method_mention",), (None,)], "kind string")
+    assert {r.kind for r in assess.rater_view(e).collect()} == {"method_mention", None}
+    row = spark.range(1).select(assess.known_tokens(F.array(F.lit("x"), F.lit("mcmc"), F.lit("mcmc")), ("mcmc", "abc")).alias("k"), assess.tags_or(F.array().cast("array<string>"), F.array(F.lit("i"))).alias("t"), assess.step_rationale(F.array(F.lit("abc")), F.array(F.lit("def")), 5).alias("r")).first()
+    assert (row.k, row.t, row.r) == (["mcmc"], ["i"], "abc d")
+    calls, prices = spark.createDataFrame([("m", 1_000_000, 500_000), ("free", 5, 5)], "model string, tokens_in long, tokens_out long"), spark.createDataFrame([("m", 1.0, 4.0)], "model string, price_in double, price_out double")
+    assert {r.model: r.cost for r in assess.call_costs(calls, prices).collect()} == {"m": 3.0, "free": 0.0}
+
+
+def test_marginal_deltas_are_those_of_scoring_again(spark):
+    steps = spark.createDataFrame([("d", "S1", True, "missing", 1.0), ("d", "S2", True, "partial", 0.5), ("d", "S3", False, "not_applicable", 1.0), ("d", "S4", True, "adequate", 1.0)], "doc string, step_id string, applicable boolean, status string, weight double").withColumn("confidence", F.lit(0.9))
+    fixes = spark.createDataFrame([("d", "S1", "adequate"), ("d", "S2", "adequate"), ("d", "S3", "adequate"), ("d", "S9", "partial")], "doc string, step_id string, target string")
+    got = {r.step_id: (r.corrected, r.coverage_delta, r.quality_delta) for r in scoring.correction_deltas(steps, fixes).collect()}
+    base = scoring.coverage_quality(steps).first()
+    for s, to in (("S1", "partial"), ("S2", "adequate")):
+        again = scoring.coverage_quality(steps.withColumn("status", F.when(F.col("step_id") == s, to).otherwise(F.col("status")))).first()
+        assert got[s][0] == to and abs(got[s][1] - (again.strict - base.strict)) < 1e-12 and abs(got[s][2] - (again.quality - base.quality)) < 1e-12
+    assert set(got) == {"S1", "S2"}
