@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators import archive, classify
@@ -175,6 +175,34 @@ def ext_misclassification_prevalence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("source", F.round(F.least(F.greatest((F.col("p") + 0.8 - 1) / (0.95 + 0.8 - 1), F.lit(0.0)), F.lit(1.0)), 9).alias("prevalence"))
 
 
+def provider_records(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of three providers made of the archived papers, read back into the common form."""
+    a = _t(spark, d, "archived_papers").select("paper_id", "paper_title", "paper_year").filter("paper_id IS NOT NULL").distinct()
+    doi = F.concat(F.lit("10.5555/"), F.upper("paper_id"))
+    one = lambda name, payload, read: a.select("paper_id", "paper_title", "paper_year", F.lit(name).alias("provider"), read(F.to_json(payload)).alias("r"))
+    openalex = F.struct(F.col("paper_title").alias("display_name"), F.col("paper_year").alias("publication_year"), F.concat(F.lit("https://doi.org/"), doi).alias("doi"), F.struct(F.concat(F.lit("u/"), "paper_id").alias("pdf_url")).alias("best_oa_location"))
+    unpaywall = F.struct(F.col("paper_title").alias("title"), F.col("paper_year").alias("year"), F.struct(F.concat(F.lit("v/"), "paper_id").alias("url_for_pdf")).alias("best_oa_location"))
+    crossref = F.struct(F.struct(F.array("paper_title").alias("title"), doi.alias("DOI")).alias("message"))
+    rows = [one("openalex", openalex, providers.openalex_record), one("unpaywall", unpaywall, providers.unpaywall_record), one("crossref", crossref, providers.crossref_record)]
+    out = [r.select("paper_id", "paper_title", "paper_year", "provider", "r.title", "r.year", "r.doi", "r.pdf_url") for r in rows]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("paper_id", "provider", "title", "year", "doi", "pdf_url").distinct()
+
+
+def ext_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: five documents of each language and style, drawn by a seeded hash; a sample is what is asked for."""
+    w = Window.partitionBy("lang", "doc_style").orderBy(F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))), "doc_id")
+    return _t(spark, d, "documents").select("doc_id", "lang", "doc_style").withColumn("place", F.row_number().over(w)).filter("place <= 5")
+
+
+def ext_flow_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: how many archived reports are left after each stage of a review: stage, n."""
+    a = _t(spark, d, "archived_papers")
+    keys = a.groupBy("report_key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("source_sha256").isNotNull()).alias("source"), F.max(F.col("quality_score").isNotNull()).alias("score"))
+    stages = (("identified", F.sum("rows")), ("deduplicated", F.count(F.lit(1))), ("retrieved", F.count(F.when(F.col("source"), 1))), ("graded", F.count(F.when(F.col("source") & F.col("score"), 1))))
+    counted = keys.agg(*[c.alias(n) for n, c in stages])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.coalesce(n, F.lit(0)).alias("n")) for n, _ in stages])).alias("x")).select("x.*")
+
+
 def ext_quality_over_time(spark: SparkSession, d: str) -> DataFrame:
     """Extension: mean quality by year and rubric."""
     return _reports(spark, d).filter("paper_year IS NOT NULL").groupBy("paper_year", "rubric_profile").agg(F.round(F.avg("quality_score"), 9).alias("quality"), F.count(F.lit(1)).alias("n"))
@@ -182,7 +210,7 @@ def ext_quality_over_time(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     archive_current, archive_search, archive_facets, archive_page, archive_sorted, override_bank_top8, report_merge_upsert, latest_report_by_paper, latest_event_per_key, job_event_replay, job_fallback_state, replayable_reports,
-    provider_resolution, version_parts, classify_labels, classify_software, classify_methods, classify_confidence, expectation_tiers, ext_misclassification_prevalence, ext_quality_over_time,
+    provider_resolution, version_parts, classify_labels, classify_software, classify_methods, classify_confidence, expectation_tiers, ext_misclassification_prevalence, ext_quality_over_time, ext_stratified_sample, ext_flow_counts, provider_records,
 )
 
 
@@ -264,5 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "version_parts": "SELECT DISTINCT engine_version, len(list_filter(string_split('pkg=' || engine_version || ';models=a=b', ';'), lambda x: contains(x, '=')))::INT AS n, 'a=b' AS models FROM archived_papers WHERE engine_version IS NOT NULL",
         "expectation_tiers": f"WITH t(step_id, label, r) AS (VALUES {tiers}), l AS (SELECT DISTINCT gold_key AS doc, unnest(paper_types) AS label FROM goldset), j AS (SELECT l.doc, s.step_id, l.label, coalesce(t.r, 0) AS r, max(coalesce(t.r, 0)) OVER (PARTITION BY l.doc, s.step_id) AS top FROM l CROSS JOIN (SELECT DISTINCT step_id FROM t) s LEFT JOIN t ON t.step_id = s.step_id AND t.label = l.label) SELECT doc, step_id, CASE top WHEN 2 THEN 'expected' WHEN 1 THEN 'recommended' ELSE 'none' END AS tier, string_agg(label, ', ' ORDER BY label) AS asked_by FROM j WHERE r = top GROUP BY doc, step_id, top",
         "ext_misclassification_prevalence": "SELECT source, round(least(greatest((avg((lang = 'en')::INT) + 0.8 - 1) / (0.95 + 0.8 - 1), 0), 1)::DOUBLE, 9) AS prevalence FROM documents GROUP BY 1",
+        "ext_stratified_sample": "SELECT * FROM (SELECT doc_id, lang, doc_style, row_number() OVER (PARTITION BY lang, doc_style ORDER BY md5('7|' || doc_id), doc_id)::INT AS place FROM documents) WHERE place <= 5",
+        "ext_flow_counts": "WITH k AS (SELECT report_key, count(*) AS n, bool_or(source_sha256 IS NOT NULL) AS s, bool_or(quality_score IS NOT NULL) AS q FROM archived_papers GROUP BY 1) SELECT 'identified' AS stage, sum(n)::BIGINT AS n FROM k UNION ALL SELECT 'deduplicated', count(*) FROM k UNION ALL SELECT 'retrieved', count(*) FILTER (s) FROM k UNION ALL SELECT 'graded', count(*) FILTER (s AND q) FROM k",
+        "provider_records": "WITH a AS (SELECT DISTINCT paper_id, paper_title AS title, paper_year AS year FROM archived_papers WHERE paper_id IS NOT NULL), d AS (SELECT *, CASE WHEN regexp_matches('10.5555/' || lower(paper_id), '^10\\.\\d{4,9}/\\S+$') THEN '10.5555/' || lower(paper_id) END AS doi FROM a) SELECT DISTINCT paper_id, 'openalex' AS provider, title, year, '10.5555/' || lower(paper_id) AS doi, 'u/' || paper_id AS pdf_url FROM d UNION SELECT paper_id, 'unpaywall', title, year, NULL, 'v/' || paper_id FROM d UNION SELECT paper_id, 'crossref', title, NULL, doi, NULL FROM d",
         "ext_quality_over_time": f"WITH {cur} SELECT paper_year, rubric_profile, round(avg(quality_score), 9) AS quality, count(*) AS n FROM cur WHERE paper_year IS NOT NULL GROUP BY ALL",
     }

@@ -102,7 +102,7 @@ def quote_first_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_spans(spark: SparkSession, d: str) -> DataFrame:
-    return screen.unique_spans(_evidence(spark, d), ["doc_key"]).groupBy("doc_key").agg(F.count(F.lit(1)).alias("n_spans"))
+    return screen.unique_spans(_evidence(spark, d), ["doc_key"]).select("doc_key", "section_id", "quote", "evidence_ref")
 
 
 def screen_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "dangling_refs": f"WITH {ev}, n AS (SELECT p.doc_key, count(ev.evidence_id) AS n FROM (SELECT DISTINCT doc_key FROM parsed_docs) p LEFT JOIN ev USING (doc_key) GROUP BY 1) SELECT doc_key, n, greatest(0, 30 - n)::INT AS n_bad FROM n WHERE n < 30",
         "quote_grounding": f"WITH {ev}, {sec}, j AS (SELECT evidence_id, quote, text, {norm('quote')} AS qn, {norm('text')} AS tn FROM ev LEFT JOIN sec USING (doc_key, section_id)), w AS (SELECT *, list_filter(string_split(qn, ' '), lambda x: length(x) >= 4 AND NOT list_contains([{stop}], x)) AS ws FROM j) SELECT evidence_id, coalesce(bool_or(contains(text, quote)), FALSE) AS verbatim, coalesce(bool_or(qn <> '' AND (contains(tn, qn) OR (len(ws) >= 6 AND len(list_filter(list_distinct(ws), lambda x: contains(tn, x))) / len(list_distinct(ws)) >= 0.8))), FALSE) AS grounded FROM w GROUP BY 1",
         "quote_first_section": f"WITH {ev}, {sec} SELECT ev.doc_key, evidence_id AS quote_id, min(section_pos) AS section_pos FROM ev JOIN sec ON ev.doc_key = sec.doc_key AND contains(text, trim(quote)) WHERE trim(quote) <> '' GROUP BY ALL",
-        "unique_spans": f"WITH {ev} SELECT doc_key, count(*) AS n_spans FROM (SELECT DISTINCT doc_key, section_id, quote FROM ev) GROUP BY 1",
+        "unique_spans": f"WITH {ev} SELECT doc_key, section_id, quote, min(evidence_ref) AS evidence_ref FROM ev GROUP BY ALL",
         "screen_floor": f"""WITH {ev}, f AS (SELECT doc_key, count(DISTINCT {fam}) AS nf, list_sort(list_distinct(list(evidence_ref)))[1:3] AS fr FROM ev WHERE {fam} IS NOT NULL GROUP BY 1),
             l AS (SELECT doc_key, ['yes', 'partial', 'no'][(doc_key % 3 + 1)::INT] AS label, CASE WHEN doc_key % 2 = 0 THEN [0] ELSE [] END AS refs, coalesce(nf, 0) AS nf, coalesce(fr, []) AS fr FROM (SELECT DISTINCT doc_key FROM parsed_docs) LEFT JOIN f USING (doc_key)),
             m AS (SELECT *, label <> 'no' AND len(refs) = 0 AS bare, CASE WHEN label <> 'no' AND len(refs) = 0 AND len(fr) = 0 THEN 'no' ELSE label END AS lab FROM l)

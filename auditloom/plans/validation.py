@@ -57,7 +57,7 @@ def rating_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def step_violations(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.step_violations(_steps(spark, d)).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    return ratings.step_violations(_steps(spark, d))
 
 
 def form_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def consensus_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def consensus_evidence(spark: SparkSession, d: str) -> DataFrame:
     s = _steps(spark, d)
-    return consensus.consensus_evidence(s, consensus.consensus_steps(s)).groupBy("work_id", "step_id").agg(F.count(F.lit(1)).alias("n_spans"))
+    return consensus.consensus_evidence(s, consensus.consensus_steps(s)).select("work_id", "step_id", "span_pos", "section_id", "page", "quote")
 
 
 def consensus_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +183,49 @@ def _icc_of(agreed: DataFrame, mine: DataFrame) -> DataFrame:
     return _rounded(agreement.icc_a1(both), "icc")
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """The raters' graded steps as judgments: the rationale is the praise, the missing subtag the suggestion."""
+    s = _steps(spark, d).filter(F.col("status").isin(*ORDER))
+    spans = F.transform("evidence", lambda e: F.struct(F.lit("judge_quote").alias("kind"), e["section_id"].alias("section_id"), e["page"].alias("page"), e["quote"].alias("quote")))
+    asked = F.when(F.col("missing_subtag").isNotNull(), F.array(F.struct(F.col("missing_subtag").alias("text"), F.lit(None).cast("string").alias("how_to"), F.lit(" Low").alias("ease"))))
+    return s.select(F.concat_ws("/", "work_id", "rater_id").alias("doc"), "work_id", "step_id", "status", "confidence", spans.alias("evidence"), F.array(F.coalesce("rationale", F.lit(""))).alias("did_well"), asked.alias("suggestions"))
+
+
+def _assessed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    j = _judged(spark, d)
+    searched = j.groupBy("doc").agg(F.min(F.get("evidence", F.lit(0))["section_id"]).alias("section_id")).filter("section_id IS NOT NULL").withColumn("section_pos", F.lit(0))
+    tiers = j.select("doc", "step_id").distinct().withColumn("tier", F.when(F.col("step_id").isin("S1", "S2", "S3"), "expected").when(F.col("step_id").isin("S4", "S5"), "recommended"))
+    return assess.to_assessments(j, searched, tiers), j
+
+
+def _flat(a: DataFrame) -> DataFrame:
+    """An assessment in columns that compare: the spans as text, the suggestions' severities and eases."""
+    spans = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["kind"], e["section_id"], e["quote"])), "\n")
+    return a.withColumns({"spans_md5": F.md5(spans), "n_praise": F.size("did_well"), "asked": F.array_join(F.transform("suggestions", lambda x: F.concat_ws("/", x["severity"], x["ease"], x["text"])), ",")})
+
+
+def judgment_assessments(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(_assessed(spark, d)[0]).select("doc", "step_id", "status", "confidence", "spans_md5", "n_praise", "asked")
+
+
+def refuted_assessments(spark: SparkSession, d: str) -> DataFrame:
+    """Absences of a rater on steps for which the consensus found something are refuted, with a rescuing quote."""
+    a, j = _assessed(spark, d)
+    found = consensus.consensus_steps(_grades(spark, d)).filter("status IN ('partial', 'adequate')").select("work_id", "step_id", F.col("status").alias("proposed"))
+    v = j.filter("status = 'missing'").select("doc", "work_id", "step_id").join(found, ["work_id", "step_id"], "left")
+    rescue = F.when(F.col("proposed").isNotNull(), F.struct(F.lit("judge_quote").alias("kind"), F.lit("s01").alias("section_id"), F.lit(None).cast("int").alias("page"), F.lit("rescued").alias("quote")))
+    v = v.select("doc", "step_id", F.col("proposed").isNotNull().alias("refuted"), "proposed", rescue.alias("rescue"), F.lit("checked").alias("notes"))
+    return _flat(assess.apply_refutations(a, v)).select("doc", "step_id", "status", "spans_md5", "asked", "challenged", "refuted")
+
+
+def correction_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """What moving each step of a form one level toward the consensus changes by itself."""
+    target = consensus.consensus_steps(_grades(spark, d)).select("work_id", "step_id", F.col("status").alias("target"))
+    g = _graded(spark, d)
+    fixes = g.select("doc", "work_id", "step_id").join(target, ["work_id", "step_id"]).select("doc", "step_id", "target")
+    return _rounded(scoring.correction_deltas(g, fixes), "coverage_delta", "quality_delta")
+
+
 def refutation_upgrade(spark: SparkSession, d: str) -> DataFrame:
     """A rater's absence counts as refuted where the consensus found the step, which proposes its status."""
     c = _cells(spark, d)
@@ -256,7 +299,7 @@ def absence_records(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     batch_reconcile, assemble_goldset, absence_records, rating_steps_current, rating_counts, step_violations, form_violations, gold_admissibility, incomplete_forms, consensus_steps, consensus_evidence, consensus_labels, consensus_gates,
     consensus_relevance, no_consensus_steps, agreement_summary, confusion_matrix, absence_rates, sens_spec_accuracy, class_set_accuracy, wilson_intervals, inter_rater_pairs, bootstrap_kappa_ci,
-    step_weights_multilabel, coverage_quality, score_impacts, icc_scores, refutation_upgrade, override_rescore, fix_list, validation_report, rater_relationships,
+    step_weights_multilabel, coverage_quality, score_impacts, icc_scores, refutation_upgrade, override_rescore, fix_list, validation_report, rater_relationships, judgment_assessments, refuted_assessments, correction_deltas,
 )
 
 
@@ -317,6 +360,11 @@ def _sql() -> tuple[dict, dict[str, str]]:
     field = lambda path: f"CASE WHEN json_type(x, '$.{path}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN x ->> '$.{path}' END"
     scored = f"""{records._nodes()}, js AS (SELECT record_id AS doc, step_pos, {field('step_id')} AS step_id, ({field('applicable')}) = 'true' AS applicable, {field('status')} AS status FROM step WHERE rating_pos = -1),
         own AS (SELECT doc, step_id, arg_max(applicable, step_pos) AS applicable, arg_max(status, step_pos) AS status, CASE WHEN step_id IN ('S3', 'S5', 'S8') THEN 0.5 ELSE 1.0 END AS weight FROM js WHERE step_id IS NOT NULL AND status IS NOT NULL GROUP BY doc, step_id)"""
+    asd = f"""WITH {cur}, {steps}, {cons}, judged AS (SELECT work_id || '/' || rater_id AS doc, * FROM steps WHERE status IN ('adequate', 'partial', 'missing')), place AS (SELECT doc, min(evidence[1].section_id) AS section FROM judged GROUP BY 1),
+        keyed AS (SELECT *, list_transform(coalesce(evidence, []), lambda x: {{'s': x.section_id, 'q': x.quote}}) AS ks FROM judged),
+        owned AS (SELECT k.*, p.section, list_transform(list_filter(ks, lambda x, i: list_position(ks, x) = i), lambda x: concat_ws('|', 'judge_quote', x.s, x.q)) AS own FROM keyed k JOIN place p USING (doc)),
+        assessed AS (SELECT doc, work_id, step_id, status, CASE WHEN NOT isnan(confidence) THEN least(greatest(confidence, 0), 1) END AS confidence, own, CASE WHEN status = 'missing' THEN list_append(own, 'absence_search|' || coalesce(section, 's00') || '|') ELSE own END AS spans, (trim(coalesce(rationale, '')) <> '')::INT AS n_praise,
+            CASE WHEN missing_subtag IS NULL THEN '' ELSE CASE WHEN status = 'missing' THEN CASE WHEN step_id IN ('S1', 'S2', 'S3') THEN 'error' WHEN step_id IN ('S4', 'S5') THEN 'warning' ELSE 'info' END WHEN status = 'partial' AND step_id IN ('S1', 'S2', 'S3') THEN 'warning' ELSE 'info' END || '/low/' || missing_subtag END AS asked FROM owned)"""
     poisson, below, p_j = [], 0.0, math.exp(-1)
     for j in range(12):
         below += p_j
@@ -338,9 +386,14 @@ def _sql() -> tuple[dict, dict[str, str]]:
             LEFT JOIN own o ON o.doc = a.doc AND o.step_id = j.step_id LEFT JOIN imp i ON i.doc = a.doc AND i.step_id = j.step_id)""",
         "rating_steps_current": f"{head} SELECT step_id, status, applicable, count(*) AS n, sum(n_evidence)::BIGINT AS n_evidence FROM steps GROUP BY ALL",
         "rating_counts": f"WITH {cur} SELECT work_id, count(*) AS n_raters FROM cur GROUP BY 1",
-        "step_violations": f"""{head} SELECT violation, count(*) AS n FROM (SELECT 'applicable but not_applicable' AS violation FROM steps WHERE status = 'not_applicable' AND applicable UNION ALL SELECT 'not applicable but graded' FROM steps WHERE status <> 'not_applicable' AND NOT applicable
-            UNION ALL SELECT 'subtag without missing' FROM steps WHERE missing_subtag IS NOT NULL AND status <> 'missing' UNION ALL SELECT 'no rationale' FROM steps WHERE status <> 'not_applicable' AND trim(coalesce(rationale, '')) = ''
-            UNION ALL SELECT 'no evidence' FROM steps WHERE status IN ('adequate', 'partial') AND n_evidence = 0) GROUP BY 1""",
+        "step_violations": f"""{head} SELECT work_id, rater_id, step_id, violation FROM (SELECT *, 'applicable but not_applicable' AS violation FROM steps WHERE status = 'not_applicable' AND applicable UNION ALL SELECT *, 'not applicable but graded' FROM steps WHERE status <> 'not_applicable' AND NOT applicable
+            UNION ALL SELECT *, 'subtag without missing' FROM steps WHERE missing_subtag IS NOT NULL AND status <> 'missing' UNION ALL SELECT *, 'no rationale' FROM steps WHERE status <> 'not_applicable' AND trim(coalesce(rationale, '')) = ''
+            UNION ALL SELECT *, 'no evidence' FROM steps WHERE status IN ('adequate', 'partial') AND n_evidence = 0)""",
+        "judgment_assessments": f"{asd} SELECT doc, step_id, status, confidence, md5(array_to_string(spans, chr(10))) AS spans_md5, n_praise, asked FROM assessed",
+        "refuted_assessments": f"""{asd}, v AS (SELECT a.*, c.status AS proposed, a.status = 'missing' AND c.status IS NOT NULL AS refuted FROM assessed a LEFT JOIN (SELECT * FROM cons WHERE status IN ('partial', 'adequate')) c ON c.work_id = a.work_id AND c.step_id = a.step_id)
+            SELECT doc, step_id, CASE WHEN refuted THEN proposed ELSE status END AS status, md5(array_to_string(CASE WHEN refuted THEN list_append(own, 'judge_quote|s01|rescued') ELSE spans END, chr(10))) AS spans_md5, CASE WHEN refuted AND proposed = 'adequate' THEN '' ELSE asked END AS asked, status = 'missing' AS challenged, refuted FROM v""",
+        "correction_deltas": f"""WITH {cur}, {steps}, {cons}, {graded}, fx AS (SELECT g.*, c.status AS target, {toward} AS corrected, count(*) FILTER (g.applicable) OVER (PARTITION BY doc) AS n, sum(weight) FILTER (g.applicable) OVER (PARTITION BY doc)::DOUBLE AS w FROM (SELECT *, ['missing', 'partial', 'adequate'] AS o FROM graded) g LEFT JOIN cons c ON c.work_id = g.work_id AND c.step_id = g.step_id)
+            SELECT doc, step_id, status, corrected, round(((corrected IN ('partial', 'adequate'))::INT - (status IN ('partial', 'adequate'))::INT) / n::DOUBLE, 9) AS coverage_delta, round(weight::DOUBLE * ({sub('corrected')} - {sub()}) / w, 9) AS quality_delta FROM fx WHERE applicable AND target IS NOT NULL""",
         "form_violations": f"""WITH {cur}, f AS (SELECT *, {status('relevance_label')} AS rl, coalesce(len(paper_class_labels), 0) AS nc, coalesce(len(steps), 0) AS ns FROM cur) SELECT work_id, rater_id, violation FROM (
             SELECT *, 'no rationale' AS violation FROM f WHERE trim(coalesce(relevance_rationale, '')) = '' UNION ALL SELECT *, 'repeated class' FROM f WHERE nc <> len(list_distinct(paper_class_labels))
             UNION ALL SELECT *, 'no with steps' FROM f WHERE rl = 'no' AND ns > 0 UNION ALL SELECT *, 'no with classes' FROM f WHERE rl = 'no' AND nc > 0 UNION ALL SELECT *, 'no with gate answers' FROM f WHERE rl = 'no' AND gate_facts IS NOT NULL
@@ -349,7 +402,8 @@ def _sql() -> tuple[dict, dict[str, str]]:
             SELECT w.work_id, n_raters, concat_ws('; ', CASE WHEN n_raters NOT BETWEEN 2 AND 3 THEN 'number of raters' END, CASE WHEN NOT ind THEN 'no independent rater' END, CASE WHEN dev THEN 'all raters are developers' END, CASE WHEN rel.work_id IS NULL THEN 'no consensus' END, CASE WHEN sha = '' THEN 'no content hash' END) AS violations FROM w LEFT JOIN rel USING (work_id)""",
         "incomplete_forms": f"WITH {cur} SELECT work_id, rater_id, missing, extra FROM (SELECT work_id, rater_id, array_to_string(list_filter([{', '.join(repr(s) for s in scoring.STEPS[:9])}], lambda x: NOT list_contains(list_transform(steps, lambda s: s.step_id), x)), ',') AS missing, array_to_string(list_filter(list_transform(steps, lambda s: s.step_id), lambda x: NOT list_contains([{', '.join(repr(s) for s in scoring.STEPS[:9])}], x)), ',') AS extra FROM cur) WHERE missing <> '' OR extra <> ''",
         "consensus_steps": f"WITH {cur}, {steps}, {cons} SELECT work_id, step_id, applicable, status, round(confidence, 9) AS confidence, n_agree FROM cons",
-        "consensus_evidence": f"WITH {cur}, {steps}, {cons} SELECT work_id, step_id, count(*) AS n_spans FROM (SELECT DISTINCT work_id, step_id, e FROM (SELECT s.work_id, s.step_id, unnest(s.evidence) AS e FROM steps s JOIN cons c USING (work_id, step_id, status) WHERE s.applicable AND c.applicable)) GROUP BY ALL",
+        "consensus_evidence": f"""WITH {cur}, {steps}, {cons}, x AS (SELECT s.work_id, s.step_id, s.rater_id, unnest(s.evidence) AS e, generate_subscripts(s.evidence, 1) AS p FROM steps s JOIN cons c USING (work_id, step_id, status) WHERE s.applicable AND c.applicable),
+            y AS (SELECT work_id, step_id, e.section_id AS section_id, e.page AS page, e.quote AS quote, min({{'r': rater_id, 'p': p}}) AS first_at FROM x GROUP BY work_id, step_id, e) SELECT work_id, step_id, (row_number() OVER (PARTITION BY work_id, step_id ORDER BY first_at, section_id, page NULLS FIRST, quote) - 1)::INT AS span_pos, section_id, page, quote FROM y""",
         "consensus_labels": f"WITH {cur}, {lab} SELECT * FROM lab",
         "consensus_gates": f"WITH {cur} SELECT work_id, {gates} FROM (SELECT DISTINCT work_id FROM cur WHERE gate_facts IS NOT NULL) w",
         "consensus_relevance": f"WITH {cur}, {rel} SELECT work_id, relevance, votes, n::BIGINT AS n FROM rel",
