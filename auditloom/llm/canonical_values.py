@@ -56,7 +56,9 @@ def map_values(values: DataFrame, catalog: DataFrame, value: str = "value", thre
     as are needed so that no entry near the threshold can be missed; frequent n-grams are never joined on. Runs go up to twice
     the words of the longest entry. Null values give no row; blank ones and an empty catalog give software_id 0.
     """
-    raw = values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    # few bytes but much work for each: without a number of its own, AQE would put them into one task
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).repartition(parts, "value").distinct()
     u = unify_text(raw, "value", "_u", skeleton=True)
     keyed = cut(u.select("value", plain_words(F.col("_u")).alias("words"), F.coalesce(is_cut_short(F.col("_u")), F.lit(False)).alias("open_end")))
     # the reference list: forms with their weighted n-grams
@@ -72,7 +74,7 @@ def map_values(values: DataFrame, catalog: DataFrame, value: str = "value", thre
     runs = F.flatten(F.transform("words", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("words") - i)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), "").alias("key"), (F.col("open_end") & (i + n == F.size("words"))).alias("open_end")))))
     filled = keyed.filter(F.size("words") > 0)
     alone = F.transform("words", lambda w: F.struct(F.lit(0).alias("at"), F.lit(1).alias("n"), w.alias("key"), F.lit(False).alias("open_end")))
-    keys = filled.select(F.explode(F.concat(runs, alone)).alias("r")).select("r.key", "r.open_end").distinct()
+    keys = filled.select(F.explode(F.concat(runs, alone)).alias("r")).select("r.key", "r.open_end").repartition(parts, "key").distinct()
     gram = keys.select("key", "open_end", F.explode(grams(F.col("key"), F.col("open_end"))).alias("gram")).join(held(weights), "gram", "left").select("key", "open_end", "gram", F.coalesce("w2", F.lit(unseen)).alias("w2"))
     whole = cut(gram.groupBy("key", "open_end").agg(F.array_sort(F.collect_list(F.struct("w2", "gram"))).alias("grams"), F.sum("w2").alias("size")))
     # by Cauchy-Schwarz, a form that shares no more than the left out n-grams scores less than they weigh
