@@ -180,28 +180,31 @@ class Judge:
         least = -3.6 if self.dense[lang] else -5.5
         return lang != ICELANDIC and all(x[lang] >= RARE for x, _ in logs) and sum(x[lang] * n for x, n in logs) > least * sum(odd.values())
 
-    def repair(self, text: str, hits: list[int], utf8: Callable[[str], tuple[str, int]]) -> tuple[str, int]:
+    def repair(self, text: str, hits: list[int], spans: list[tuple[int, int, str]], utf8: Callable[[str], tuple[str, int]]) -> tuple[str, int]:
         """(text with garbled sentences read anew, number of characters changed).
 
-        ``hits``: the places of garbled letters that the automaton gave; only sentences with some are judged. A sentence that
+        ``hits`` and ``spans``: the places of garbled letters and of garbled UTF-8 that the automaton gave; only sentences with letters are judged. A sentence that
         decides by itself gives the document's pairs of encodings; under those the others only have to be likelier. Of pairs
         that suit a sentence nearly as well, the one that suits the whole document best is taken. A sentence that ``utf8``
         makes as likely as any pair, or of which it explains half, is left to that.
         """
-        sentences, found, later, at, k = [], [], [], 0, 0
+        sentences, found, later, at, k, span = [], [], [], 0, 0, 0
         for x in SENTENCE.findall(text):
             if x:
                 at += len(x)
-                some = k
+                some, explained = k, 0
+                while span < len(spans) and spans[span][0] < at:
+                    explained += spans[span][1] - spans[span][0]
+                    span += 1
                 while k < len(hits) and hits[k] < at:
                     k += 1
                 sentences.append(x)
                 # with fewer than three hits a sentence doesn't decide by itself; it is judged if another one does
-                found.append(self._judged(x, utf8) if k - some >= 3 else None)
-                later.append(0 < k - some < 3)
+                found.append(self._judged(x, explained) if k - some >= 3 else None)
+                later.append(explained if 0 < k - some < 3 else None)
         if not any(f and f[1].any() for f in found):
             return text, 0
-        found = [self._judged(x, utf8) if late else f for x, f, late in zip(sentences, found, later)]
+        found = [f if late is None else self._judged(x, late) for x, f, late in zip(sentences, found, later)]
         total = sum(f[0] for f in found if f) + self.common
         own: list[int | None] = []
         for x, f in zip(sentences, found):
@@ -218,9 +221,10 @@ class Judge:
             out.append(new)
         return "".join(out), n
 
-    def _judged(self, sentence: str, utf8: Callable[[str], tuple[str, int]]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _judged(self, sentence: str, explained: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The gains; None for a right sentence, and for one of which garbled UTF-8 explains half of the odd characters."""
         odd, plain = self.counts(sentence)
-        if self.right(sentence, odd, plain) or 2 * utf8(sentence)[1] >= sum(c > "\x7f" for c in sentence):
+        if self.right(sentence, odd, plain) or (explained and 2 * explained >= sum(c > "\x7f" for c in sentence)):
             return None
         return self.gains(odd, plain)
 
@@ -259,18 +263,18 @@ class Repairer:
         self.known, self.letters = utf8_patterns(), letter_patterns()
         self.automaton = ahocorasick.Automaton()
         for garbled in {**self.known, **self.letters}:
-            self.automaton.add_word(garbled, (len(garbled), garbled in self.known))
+            self.automaton.add_word(garbled, (len(garbled), garbled in self.known, garbled in self.letters))
         self.automaton.make_automaton()
 
     def match(self, text: str) -> tuple[list[tuple[int, int, str]], list[int]]:
         """Spans of garbled UTF-8 to replace (the longest match at each place, weak ones only in company), and the places of garbled letters."""
         spans: list[tuple[int, int]] = []
         letters = []
-        for end, (size, utf8) in self.automaton.iter(text):
-            start = end + 1 - size
-            if size == 1 and text[end] in self.letters:
+        for end, (size, utf8, letter) in self.automaton.iter(text):
+            if letter:
                 letters.append(end)
             if utf8:
+                start = end + 1 - size
                 while spans and spans[-1][0] >= start:
                     spans.pop()
                 if not spans or spans[-1][1] <= start:
@@ -317,7 +321,7 @@ class Repairer:
             return text, 0, True
         spans, letters = self.match(text)
         # letters first, as some of them would pass for garbled UTF-8
-        text, n = _judge().repair(text, letters, self._utf8)
+        text, n = _judge().repair(text, letters, spans, self._utf8)
         again = bool(spans)
         if n:
             spans, letters = self.match(text)
@@ -326,7 +330,7 @@ class Repairer:
             text = _replaced(text, spans)
             spans, letters = self.match(text)
         if again:
-            text, more = _judge().repair(text, letters, self._utf8)
+            text, more = _judge().repair(text, letters, spans, self._utf8)
             n += more
             letters = self.match(text)[1] if more else letters
         if hits := self._misplaced(text, letters):
