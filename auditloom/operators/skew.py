@@ -17,9 +17,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join can't salt a {how} join")
     source = (left if counted is None else counted).select(*on)
-    counts = source.na.drop(subset=on).groupBy(*on).count()
-    total = source.count()
-    hot = counts.filter(F.col("count") > F.lit(max(1000, int(total * hot_share)))).select(*on).collect()
+    # no more than 1/hot_share keys can be hot, so these are all that may be; the total is only counted if one might
+    most = source.na.drop(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1000").orderBy(F.desc("_rows")).limit(int(1 / hot_share)).collect()
+    least = source.count() * hot_share if most else 0
+    hot = [tuple(r[k] for k in on) for r in most if r["_rows"] > least]
     if not hot:
         return left.join(right, on, how)
     spark = left.sparkSession
