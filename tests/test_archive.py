@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import archive, context, ratings, screen, sections, skew
+from auditloom.operators import archive, context, ratings, scoring, screen, sections, skew
 from auditloom.sources import files, providers
 from auditloom.streaming import events
 
@@ -157,6 +157,23 @@ def test_stream_numbers_like_the_batch(spark, tmp_path, at):
     assert events.replay_from(spark.table(name), 2).count() == sum(s > 2 for _, s, _ in got)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_null_keys_are_spread(spark, how):
+    left = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 400).alias("k"), "id")
+    right = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    a = skew.skew_join(left, right, ["k"], how)
+    assert "_salt" in a._jdf.queryExecution().toString()
+    assert sorted(map(str, a.collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
+
+
+def test_praise_and_facts_without_support(spark):
+    praise = spark.createDataFrame([("good, see p. 3",), ("good “as said”",), ("well done",), ("Table 2 shows",)], "text string")
+    assert [r.text for r in scoring.uncited_praise(praise).collect()] == ["well done"]
+    facts = spark.createDataFrame([("d", 1, "four  chains"), ("d", 2, "nowhere"), ("d", 3, " "), ("d", 4, None), ("e", 1, "four chains")], "doc_key string, fact_id int, quote string")
+    evidence = spark.createDataFrame([("d", 5, "We ran four chains."), ("d", 2, "chains: four chains"), ("d", 9, None)], "doc_key string, evidence_ref int, quote string")
+    assert [tuple(r) for r in screen.facts_with_evidence(facts, evidence).collect()] == [("d", 1, 2)]
+
+
 def test_stream_replay_forgets_old_numbers(spark, tmp_path):
     schema = "job_id string, seq long, at timestamp"
     spark.createDataFrame([("j", k % 4, _at(0)) for k in range(8)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
