@@ -220,12 +220,20 @@ class Walker:
         both = pd.concat([lone, self._decoded(listed)], ignore_index=True)
         return both[both["kind"] == OPEN_O].reset_index(drop=True)
 
-    def texts(self, nodes: pd.DataFrame, key: str) -> list[str | None]:
-        got = self.get(nodes, key)
-        out: list[str | None] = [None] * len(nodes)
-        where = {k: i for i, k in enumerate(nodes.index)}
-        for parent, index, start, end in zip(got["parent"], got["index"], got["start"], got["end"]):
-            out[where[parent]] = _scalar(self.indexes[index].raw(start, end))
+    def texts(self, nodes: pd.DataFrame, keys: tuple[str, ...]) -> dict[str, np.ndarray]:
+        """The scalars of several keys (of a repeated one the last) in each object, found in one look through the values."""
+        out = {key: np.full(len(nodes), None, object) for key in keys}
+        places = pd.Series(np.arange(len(nodes)), index=nodes.index)
+        codes = {CODE[key]: key for key in keys}
+        objects = nodes[nodes["kind"] == OPEN_O]
+        for which, part in objects.groupby("index", sort=False):
+            values = self.indexes[which].values
+            values = values[values["key"].isin(list(codes))]
+            owners = pd.DataFrame({"place_out": places.loc[part.index].to_numpy(), "box": part["start"].to_numpy()})
+            got = owners.merge(values[["box", "place", "key", "start", "end"]], on="box").sort_values("place", kind="stable")
+            data = memoryview(self.indexes[which].buf)
+            for place, code, start, end in zip(got["place_out"].tolist(), got["key"].tolist(), got["start"].tolist(), got["end"].tolist()):
+                out[codes[code]][place] = _scalar(data[start:end].tobytes())
         return out
 
 
@@ -241,13 +249,15 @@ def flatten_batch(ids: list, kinds: list[str | None], payloads: list[str | None]
         rows = nodes["row"].to_numpy(np.int64)
         frame = pd.DataFrame({"record_id": [ids[r] for r in rows], "tbl": tbl, "rating_pos": rating, "step_pos": step, "child_pos": child})
         if fields:
-            spans = walker.get(nodes, "span") if tbl == "evidence" else None
+            own = walker.texts(nodes, FIELDS[tbl])
+            spans = walker.get(nodes, "span").set_index("parent") if tbl == "evidence" else ()
+            if len(spans):  # what the evidence itself doesn't say stands in its span
+                places = pd.Series(np.arange(len(nodes)), index=nodes.index).loc[spans.index].to_numpy()
+                for name, inner in walker.texts(spans, ("section_id", "page", "quote")).items():
+                    empty = np.array([x is None for x in own[name][places]], bool)
+                    own[name][places[empty]] = inner[empty]
             for name in FIELDS[tbl]:
-                frame[name] = pd.Series(walker.texts(nodes, name), dtype=object)
-                if spans is not None and len(spans) and name in ("section_id", "page", "quote"):
-                    held = spans.set_index("parent")
-                    inner = dict(zip(held.index, walker.texts(held, name)))
-                    frame[name] = pd.Series([inner.get(k, own) if own is None else own for k, own in zip(nodes.index, frame[name])], dtype=object)
+                frame[name] = pd.Series(own[name], dtype=object)
         out.append(frame)
 
     tops = walker.tops()
