@@ -75,7 +75,7 @@ def test_paths_agree(spark, monkeypatch):
     rows = [(i, f"w{w}", f"r{r}", str(rng.choice(consensus_labels.RELEVANCE)), [(f"S{s}", str(rng.choice(consensus_labels.STATUS))) for s in range(3)], _at(1), "") for i, (w, r) in enumerate((w, r) for w in range(25) for r in range(12) if w == 0 or rng.random() < 0.4)]
     ratings = spark.createDataFrame(rows, RATINGS)
     key = lambda r: [round(x, 9) if isinstance(x, float) else x for x in r]
-    run = lambda: [sorted(map(key, df.collect())) for df in (lambda f: (f.items, f.raters))(consensus_labels.fit_consensus(ratings))]
+    run = lambda: [sorted(map(key, df.collect())) for df in (lambda f: (f.items, f.raters))(consensus_labels.fit_consensus(ratings, rounds=4))]
     want = run()
     assert len(want[0]) == 100 and len(want[1]) == 12
     for name in ("BROADCAST_RATERS", "BROADCAST_KINDS", "HOT_ITEM"):
