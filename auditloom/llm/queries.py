@@ -117,7 +117,8 @@ def queries() -> dict:
 
 def _unified_sql(skeleton: bool) -> str:
     """form(t, o): every text with its one form, character by character from a table of replacements; another way than the operator's statement."""
-    in_class = lambda pattern: [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), pattern), chr(c))]
+    plane = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    in_class = lambda pattern: re.findall(re.sub(r"\\x\{(\w+)\}", r"\\u\1", pattern), plane)
     first = {c: "" for c in in_class(unify_text.INVISIBLE)} | {c: " " for c in in_class(unify_text.SPACES)} | {c: "-" for c in in_class(unify_text.HYPHENS)} | unify_text.compatibility_map() | unify_text.LIGATURES
     rows = lambda table: ", ".join(f"({ord(c)}, {unify_text._quoted(x)})" for c, x in table.items())
     spell = lambda src, table, keep: f"SELECT t, string_agg(CASE WHEN {keep} THEN coalesce(r.x, c) ELSE c END, '' ORDER BY i) AS o FROM {src} LEFT JOIN {table} r ON r.k = unicode(c) GROUP BY t"
