@@ -136,7 +136,8 @@ def _nearest(ratio: float, names: list[str]):
                 at, step = stop, step * 2
         i, j, r = (list(x) for x in zip(*out)) if out else ([], [], [])
         found = block.loc[i, names].reset_index(drop=True)
-        return found.assign(token=[tokens[x] for x in i], main=[tokens[x] for x in j], n=n[i].astype(np.int64), m=n[j].astype(np.int64), ratio=np.array(r, float))
+        text = lambda at: pd.Series([tokens[x] for x in at], dtype=object)  # noqa: E731  # also without rows: Arrow can't take other empty columns as text
+        return found.assign(token=text(i), main=text(j), n=n[i].astype(np.int64), m=n[j].astype(np.int64), ratio=np.array(r, float))
 
     return run
 

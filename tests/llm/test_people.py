@@ -246,6 +246,18 @@ def test_hot_family_is_compared_as_a_whole(spark):
     assert sum(m == "fulrivontfel" for m in want.values()) == 400
 
 
+def test_hot_block_without_similar_tokens(spark):
+    """Parts of a large block that give no pair at all, with scopes of numbers and of text."""
+    rng = random.Random(9)
+    heads = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(300)]
+    tokens = [h + "oardt" for h in heads] + [heads[0][:-1] + "yoardt"]
+    rows = [(one, t, 1 + (i == 0)) for one in (1, 2) for i, t in enumerate(tokens[: 300 + (one == 2)])]
+    df = spark.createDataFrame(rows, "one int, token string, n long").withColumn("family", F.concat(F.lit("f"), "one"))
+    for scope in ("one", "family"):
+        got = {(r[scope], r.token, r.main) for r in name_variants.similar_tokens(df, [scope], 5, 0.85, part=10).collect()}
+        assert got == {({"one": 2, "family": "f2"}[scope], tokens[-1], tokens[0])}
+
+
 def test_short_family_names_with_one_typo(spark):
     rows = [("larsson", 9), ("lrasson", 1), ("lasrson", 1), ("larson", 1), ("walker", 9), ("walkr", 1), ("wlker", 1)]
     df = spark.createDataFrame([(1, *r) for r in rows], "one int, token string, n long")
