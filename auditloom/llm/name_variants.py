@@ -114,26 +114,31 @@ def _nearest(ratio: float, names: list[str]):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["n", "token"], ascending=[False, True], kind="stable", ignore_index=True)
         tokens, n = block["token"].tolist(), block["n"].to_numpy()
-        sizes = np.array([len(t) for t in tokens])
-        letters = np.zeros((len(tokens), 32), np.int16)
-        for i, t in enumerate(tokens):
-            for c in t:
-                letters[i, ord(c) % 32] += 1
-        out = []
-        for i in np.flatnonzero(block["own"].to_numpy()):
-            at, step, least_n = 0, 64, None
-            while at < i and (least_n is None or n[at] == least_n):
-                stop = min(at + step, i)
+        sizes = np.array([len(t) for t in tokens], np.int32)
+        codes = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32) % 32
+        letters = np.bincount(np.repeat(np.arange(len(tokens)), sizes) * 32 + codes, minlength=32 * len(tokens)).reshape(-1, 32).astype(np.int16)
+        # two bits a letter for its first two times; more times than two are in ``beyond``
+        once = np.uint64(1) << np.arange(0, 64, 2, dtype=np.uint64)
+        bits, beyond = ((letters > 0) * once).sum(1, dtype=np.uint64) | ((letters > 1) * (once * np.uint64(2))).sum(1, dtype=np.uint64), np.maximum(letters - 2, 0).sum(1, dtype=np.int32)
+        out, least_n = [], np.full(len(tokens), -1, np.int64)
+        left, at, step = np.flatnonzero(block["own"].to_numpy()), 0, 64
+        left = left[left > 0]
+        while left.size:
+            stop = min(at + step, len(tokens))
+            for rows in np.array_split(left, -(-left.size * (stop - at) // 2**18)):
                 # common letters bound the common subsequence from above, so no similar token is passed over
-                shared = np.minimum(letters[at:stop], letters[i]).sum(1)
-                close = (np.abs(sizes[at:stop] - sizes[i]) <= 2) & (2 * shared >= ratio * (sizes[at:stop] + sizes[i]) - 1e-9)
-                for j in at + np.flatnonzero(close):
-                    if least_n is not None and n[j] < least_n:
-                        break
-                    if (r := lcs_ratio(tokens[i], tokens[j])) >= ratio:
-                        least_n = n[j]
+                most = np.bitwise_count(bits[rows, None] & bits[at:stop]) + beyond[rows, None]
+                close = (np.abs(sizes[rows, None] - sizes[at:stop]) <= 2) & (2 * most >= ratio * (sizes[rows, None] + sizes[at:stop]) - 1e-9) & (np.arange(at, stop) < rows[:, None])
+                x, y = np.nonzero(close)
+                i, j = rows[x], at + y
+                close = 2 * np.minimum(letters[i], letters[j]).sum(1) >= ratio * (sizes[i] + sizes[j]) - 1e-9
+                for i, j in zip(i[close].tolist(), j[close].tolist()):
+                    if n[j] >= least_n[i] and (r := lcs_ratio(tokens[i], tokens[j])) >= ratio:
+                        least_n[i] = n[j]
                         out.append((i, j, r))
-                at, step = stop, step * 2
+            at, step = stop, step * 2
+            left = left[left > at]
+            left = left[(least_n[left] < 0) | (n[at : at + 1] == least_n[left])]
         i, j, r = (list(x) for x in zip(*out)) if out else ([], [], [])
         found = block.loc[i, names].reset_index(drop=True)
         text = lambda at: pd.Series([tokens[x] for x in at], dtype=object)  # noqa: E731  # also without rows: Arrow can't take other empty columns as text

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from auditloom.llm import canonical_values, consensus_labels, name_variants
@@ -258,6 +259,21 @@ def test_hot_block_without_similar_tokens(spark):
         assert got == {({"one": 2, "family": "f2"}[scope], tokens[-1], tokens[0])}
 
 
+def test_nearest_gives_the_most_frequent_similar_tokens():
+    """Against all comparisons: letters that stand more than twice, letters beyond ASCII, ties, a part without own tokens."""
+    rng = random.Random(6)
+    for letters in ("ab", "abcdef", "abvüéß𝔞z"):
+        for own in (0.0, 0.6, 1.0):
+            rows = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))): rng.choice([1, 1, 2, 5]) for _ in range(200)}
+            block = pd.DataFrame([(1, "x", t, n, rng.random() < own) for t, n in rows.items()], columns=["one", "block", "token", "n", "own"])
+            want = set()
+            for t in block["token"][block["own"]]:
+                near = {u for u in rows if (-rows[u], u) < (-rows[t], t) and abs(len(u) - len(t)) <= 2 and name_variants.lcs_ratio(u, t) >= 0.8}
+                want |= {(t, u, rows[t], rows[u]) for u in near if rows[u] == max(rows[v] for v in near)}
+            got = name_variants._nearest(0.8, ["one"])(block)
+            assert set(got[["token", "main", "n", "m"]].itertuples(index=False, name=None)) == want
+
+
 def test_short_family_names_with_one_typo(spark):
     rows = [("larsson", 9), ("lrasson", 1), ("lasrson", 1), ("larson", 1), ("walker", 9), ("walkr", 1), ("wlker", 1)]
     df = spark.createDataFrame([(1, *r) for r in rows], "one int, token string, n long")
